@@ -12,7 +12,8 @@ def alias_dim(catalogue: DataFrame) -> DataFrame:
     """``(alias, drug)`` from a nested catalogue (class, molecules map name -> variants)."""
     molecule = catalogue.select(F.explode("molecules").alias("molecule", "variants"))
     own = molecule.select(F.lower("molecule").alias("alias"), F.col("molecule").alias("drug"))
-    variants = molecule.select(F.lower(F.trim(F.explode("variants"))).alias("alias"), F.col("molecule").alias("drug"))
+    variants = molecule.select(F.explode("variants").alias("alias"), F.col("molecule").alias("drug"))
+    variants = variants.withColumn("alias", F.lower(F.trim("alias")))
     classes = catalogue.select(F.lower("class").alias("alias"), F.col("class").alias("drug"))
     return classes.unionByName(own).unionByName(variants).where("alias != ''").distinct()
 

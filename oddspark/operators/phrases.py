@@ -39,8 +39,8 @@ def phrase_matches(texts: DataFrame, text_col: str, terms: DataFrame, plural: bo
     keys = [c for c in texts.columns if c != text_col]
     words_in = (F.size(X.word_starts(X.tokens(F.col("term")))))
     longest = terms.agg(F.coalesce(F.max(words_in), F.lit(1)).alias("k")).select("k").scalar()
-    toks = texts.select(*keys, X.tokens(F.col(text_col)).alias("_toks"))
-    runs = toks.select(*keys, F.inline(_runs(F.col("_toks"), longest)))
+    toks = texts.select(*keys, X.tokens(F.col(text_col)).alias("_toks")).withColumn("_k", longest)
+    runs = toks.select(*keys, F.inline(_runs(F.col("_toks"), F.col("_k"))))
     lowered = F.lower("found")
     if plural:
         singular = F.when(F.endswith(lowered, F.lit("s")), F.substring(lowered, F.lit(1), F.length(lowered) - 1))

@@ -31,7 +31,7 @@ def score_by_stratum(baskets: DataFrame, stratum: str) -> DataFrame:
     by_drug = counts.where("level = 1").select("drug", F.col("n").alias("n_drug"))
     by_reaction = counts.where("level = 2").select("reaction_pt", F.col("n").alias("n_reaction"))
     sizes = ok.groupBy(tag.alias("stratum")).agg(F.count(F.lit(1)).alias("N"))
-    part = lambda c, i: F.split(c, sep)[i]
+    part = lambda c, i: F.substring_index(c, sep, 1 if i == 0 else -1)
     table = (
         cells.join(by_drug, "drug").join(by_reaction, "reaction_pt")
         .select(part("drug", 0).alias("stratum"), part("drug", 1).alias("drug"), part("reaction_pt", 1).alias("reaction_pt"), "a",
