@@ -15,7 +15,10 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     inv = 1.0 / z
     inv2 = inv * inv
     series = inv * (1 / 12 - inv2 * (1 / 360 - inv2 * (1 / 1260 - inv2 / 1680)))
-    back = sum(np.log(x + i) for i in range(10))
+    # Two products of five keep the intermediate far from overflow.
+    low = x * (x + 1) * (x + 2) * (x + 3) * (x + 4)
+    high = (x + 5) * (x + 6) * (x + 7) * (x + 8) * (x + 9)
+    back = np.log(low) + np.log(high)
     return (z - 0.5) * np.log(z) - z + 0.5 * _LOG_2PI + series - back
 
 

@@ -21,40 +21,31 @@ def _horner(x: Column, coefficients: list[float]) -> Column:
     return reduce(lambda acc, c: F.lit(c) + x * acc, reversed(coefficients[:-1]), F.lit(coefficients[-1]))
 
 
-def _recurrence(x: Column) -> tuple[Column, list[Column]]:
-    """Terms that undo the shift: 1/(x+i) and 1/(x+9-i) share one denominator x(x+9) + i(9-i)."""
-    base = x * (x + 9.0)
-    return 2.0 * x + 9.0, [1.0 / (base + float(i * (_SHIFT - 1 - i))) for i in range(_SHIFT // 2)]
+def _body(first: str, tail: list[float], last: str) -> str:
+    """SQL text of the shifted series for ``x`` with z = x + 10 and t = x(x + 9)."""
+    z, t = f"(x + {_SHIFT}D)", "(x * (x + 9D))"
+    inv2 = f"(1D / ({z} * {z}))"
+    poly = reduce(lambda acc, c: f"({c!r}D + {inv2} * {acc})", reversed(tail[:-1]), f"{tail[-1]!r}D")
+    back = [f"(1D / ({t} + {i * (_SHIFT - 1 - i)}D))" for i in range(_SHIFT // 2)]
+    sums = " + ".join(back)
+    squares = " + ".join(f"{u} * {u}" for u in back)
+    return (first + last).format(z=z, inv2=inv2, poly=poly, sums=f"({sums})", squares=f"({squares})", s="(2D * x + 9D)")
 
 
-def _add(terms: list[Column]) -> Column:
-    return reduce(lambda p, q: p + q, terms)
+DIGAMMA_BODY = _body("ln({z}) - 0.5D / {z} - {inv2} * {poly}", [1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132], " - {s} * {sums}")
+TRIGAMMA_BODY = _body(
+    "1D / {z} + 0.5D * {inv2} + {inv2} / {z} * {poly}", [1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66],
+    " + {s} * {s} * {squares} - 2D * {sums}",
+)
 
 
-def digamma(x: Column) -> Column:
-    z = x + float(_SHIFT)
-    inv2 = 1.0 / (z * z)
-    tail = _horner(inv2, [1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132])
-    total, parts = _recurrence(x)
-    return F.log(z) - 0.5 / z - inv2 * tail - total * _add(parts)
-
-
-def trigamma(x: Column) -> Column:
-    z = x + float(_SHIFT)
-    inv2 = 1.0 / (z * z)
-    tail = _horner(inv2, [1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66])
-    total, parts = _recurrence(x)
-    back = total * total * _add([p * p for p in parts]) - 2.0 * _add(parts)
-    return 1.0 / z + 0.5 * inv2 + inv2 / z * tail + back
-
-
-def over_all(function, values: list[Column]) -> Column:
-    """One array with the function of every value.
+def over_all(body: str, array_column: str) -> Column:
+    """The function of every entry of an array column.
 
     The body is planned once instead of once per argument, which keeps the
     generated code of wide formulas small enough to be compiled.
     """
-    return F.transform(F.array(*values), function)
+    return F.expr(f"transform({array_column}, x -> {body})")
 
 
 def lgamma(x: Column) -> Column:

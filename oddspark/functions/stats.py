@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddspark import constants as K
-from oddspark.functions.special import digamma, over_all, round4, trigamma
+from oddspark.functions.special import DIGAMMA_BODY, TRIGAMMA_BODY, over_all, round4
 
 MEASURES = ["ROR", "ROR_lower", "ROR_upper", "PRR", "chi2", "IC", "IC025", "IC975"]
 _LN2 = math.log(2.0)
@@ -88,8 +88,8 @@ def with_bcpnn(df: DataFrame) -> DataFrame:
     both = 2.0 + n  # p1 + p2 and q1 + q2 alike
     r1 = 1.0 + a
     r2 = n - a - 1.0 + both * both / (q1 * p1)
-    arguments = [r1, r1 + r2, p1, q1, both]
-    df = df.withColumns({"_psi": over_all(digamma, arguments), "_tri": over_all(trigamma, arguments)})
+    df = df.withColumn("_args", F.array(r1, r1 + r2, p1, q1, both))
+    df = df.withColumns({"_psi": over_all(DIGAMMA_BODY, "_args"), "_tri": over_all(TRIGAMMA_BODY, "_args")})
     psi = [F.col("_psi")[i] for i in range(5)]
     tri = [F.col("_tri")[i] for i in range(5)]
     mean = (psi[0] - psi[1] - psi[2] - psi[3] + 2.0 * psi[4]) / _LN2
@@ -99,7 +99,7 @@ def with_bcpnn(df: DataFrame) -> DataFrame:
     df = df.withColumns({"IC": F.when(present, mean), "_half": F.when(present, half)})
     return df.withColumns(
         {"IC025": F.col("IC") - F.col("_half"), "IC975": F.col("IC") + F.col("_half")}
-    ).drop("_half", "_psi", "_tri")
+    ).drop("_half", "_psi", "_tri", "_args")
 
 
 def tier(ic025: Column, a: Column) -> Column:

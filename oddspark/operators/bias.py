@@ -186,9 +186,11 @@ def _grouped(baskets: DataFrame, dim: DataFrame) -> DataFrame:
 def comparator_cells(baskets: DataFrame, dim: DataFrame) -> DataFrame:
     """2x2 of the comparator group itself against the whole database.
 
-    A report counts once per group however many peers it names.
+    A report counts once per group however many peers it names. Reaction totals
+    and N come from all reports, also those without any peer.
     """
-    return C.contingency(_grouped(baskets, dim), drugs="groups")
+    cells, base = C.pair_counts(_grouped(baskets, dim), "groups"), C.pair_counts(B.eligible(baskets))
+    return C.tables(cells, C.drug_margin(cells), C.reaction_margin(base), C.universe(base))
 
 
 def active_comparator(baskets: DataFrame, dim: DataFrame) -> DataFrame:
@@ -215,10 +217,10 @@ def direct_comparator(baskets: DataFrame, dim: DataFrame) -> DataFrame:
     grouped = _grouped(baskets, dim)
     # Reports counted for a group exclude those that name the drug itself.
     only_peers = grouped.withColumn("groups", F.array_except("groups", "drugs"))
-    exposed = C.contingency(grouped).select("drug", "reaction_pt", "a", "b")
-    other = C.margin_counts(only_peers, "groups").where("level in (0, 1)")
-    cells = other.where("level = 0").select("drug", "reaction_pt", F.col("n").alias("c"))
-    totals = other.where("level = 1").select("drug", F.col("n").alias("peer_reports"))
+    exposed = C.contingency(B.eligible(baskets)).select("drug", "reaction_pt", "a", "b")
+    other = C.pair_counts(only_peers, "groups")
+    cells = other.select("drug", "reaction_pt", F.col("a").alias("c"))
+    totals = C.drug_margin(other).withColumnRenamed("n_drug", "peer_reports")
     zero = F.lit(0).cast("long")
     table = (
         exposed.join(totals, "drug")

@@ -39,57 +39,77 @@ def reaction_totals(baskets: DataFrame) -> DataFrame:
     return B.report_reaction(baskets).groupBy("reaction_pt").agg(F.count(F.lit(1)).alias("reports"))
 
 
-# Kinds of rows in margin_counts: level 1 has "any" as reaction, level 2 as drug.
-_CELL, _DRUG, _REACTION, _ALL = 0, 1, 2, 3
-_ANY = "\x00"
+def pair_counts(baskets: DataFrame, drugs: str = "drugs") -> DataFrame:
+    """Cells from one pass over the reports, with what the marginals need.
+
+    ``a`` counts the reports of a pair. ``heads_drug`` counts those in which the
+    drug is the first of its report, so summed over drugs it counts every report of
+    a reaction once; ``heads_reaction`` likewise for a drug, ``heads_both`` for the
+    universe. Both marginals and N therefore come from the small cell table and the
+    reports are read, exploded and shuffled only once. Counts combine before the
+    shuffle, so what moves is one row per distinct pair and map task.
+
+    The keys are made non-nullable so that no join infers a null check below the
+    aggregation, and the final condition (true for every row) keeps the four counts
+    together under column pruning: all branches of ``contingency`` then plan the
+    same aggregation and share one exchange.
+    """
+    rows = baskets.select(F.posexplode(drugs).alias("_d", "drug"), "reactions").select(
+        "_d", "drug", F.posexplode("reactions").alias("_r", "reaction_pt")
+    )
+    first_drug, first_reaction = F.col("_d") == 0, F.col("_r") == 0
+    keys = [F.coalesce(k, F.lit("")).alias(k) for k in ("drug", "reaction_pt")]
+    counts = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("a"),
+        F.count_if(first_drug).alias("heads_drug"),
+        F.count_if(first_reaction).alias("heads_reaction"),
+        F.count_if(first_drug & first_reaction).alias("heads_both"),
+    )
+    return counts.where(F.greatest("heads_drug", "heads_reaction", "heads_both") <= F.col("a"))
 
 
-def margin_counts(baskets: DataFrame, drugs: str = "drugs") -> DataFrame:
-    """Cells, both marginals and the universe from one pass over the reports.
+def drug_margin(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("drug").agg(F.sum("heads_reaction").alias("n_drug"))
 
-    Each array gets one extra entry before exploding, standing for "any":
-    (drug, reaction) counts the cell, (drug, any) and (any, reaction) the
-    marginals, (any, any) the reports. Counts combine before the shuffle, so what
-    moves is one row per distinct pair and map task. ``level`` says which kind a
-    row is; it is an aggregate over non-nullable keys on purpose, so that neither
-    a filter on it nor an inferred null check moves below the aggregation and all
-    branches of ``contingency`` share one exchange.
-    """
-    nil = F.array(F.lit(None).cast("string"))
-    rows = baskets.select(F.explode(F.concat(drugs, nil)).alias("drug"), "reactions").select(
-        "drug", F.explode(F.concat("reactions", nil)).alias("reaction_pt")
+
+def reaction_margin(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("reaction_pt").agg(F.sum("heads_drug").alias("n_reaction"))
+
+
+def universe(cells: DataFrame) -> Column:
+    """Number of reports as a scalar subquery; 0 if there are none."""
+    return cells.agg(F.coalesce(F.sum("heads_both"), F.lit(0)).alias("n")).select("n").scalar()
+
+
+def tables(cells: DataFrame, by_drug: DataFrame, by_reaction: DataFrame, total: Column) -> DataFrame:
+    """2x2 tables from cells and marginals."""
+    b = F.col("n_drug") - F.col("a")
+    c = F.col("n_reaction") - F.col("a")
+    return (
+        cells.select("drug", "reaction_pt", "a")
+        .join(by_drug, "drug")
+        .join(by_reaction, "reaction_pt")
+        .withColumn("N", total)
+        .select("drug", "reaction_pt", "a", b.alias("b"), c.alias("c"), (F.col("N") - F.col("a") - b - c).alias("d"), "N")
     )
-    level = F.col("drug").isNull().cast("int") * 2 + F.col("reaction_pt").isNull().cast("int")
-    keys = [F.coalesce(k, F.lit(_ANY)).alias(k) for k in ("drug", "reaction_pt")]
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(level).alias("level"))
 
 
 def contingency(
     baskets: DataFrame,
     drug_filter: str | list[str] | None = None,
     reaction_filter: str | list[str] | None = None,
-    drugs: str = "drugs",
 ) -> DataFrame:
     """``drug, reaction_pt, a, b, c, d, N`` for every pair with at least one report.
 
     Filters act on the pair side only; the marginals always come from all reports.
+    Reports must have at least one drug and one reaction (``baskets.eligible``).
     """
-    counts = margin_counts(baskets, drugs)
-    cells = counts.where(F.col("level") == _CELL).select("drug", "reaction_pt", F.col("n").alias("a"))
+    counts = pair_counts(baskets)
+    cells = counts
     for name, wanted in (("drug", drug_filter), ("reaction_pt", reaction_filter)):
         if wanted is not None:
             cells = cells.where(F.col(name).isin([wanted] if isinstance(wanted, str) else list(wanted)))
-    by_drug = counts.where(F.col("level") == _DRUG).select("drug", F.col("n").alias("n_drug"))
-    by_reaction = counts.where(F.col("level") == _REACTION).select("reaction_pt", F.col("n").alias("n_reaction"))
-    universe = counts.where(F.col("level") == _ALL).select("n").scalar()
-    b = F.col("n_drug") - F.col("a")
-    c = F.col("n_reaction") - F.col("a")
-    return (
-        cells.join(by_drug, "drug")
-        .join(by_reaction, "reaction_pt")
-        .withColumn("N", universe)
-        .select("drug", "reaction_pt", "a", b.alias("b"), c.alias("c"), (F.col("N") - F.col("a") - b - c).alias("d"), "N")
-    )
+    return tables(cells, drug_margin(counts), reaction_margin(counts), universe(counts))
 
 
 def contingency_one(baskets: DataFrame, drug: str, reaction: str) -> DataFrame:

@@ -27,7 +27,7 @@ def molecule_forms(molecules: DataFrame) -> DataFrame:
 
 
 def facts_match(records: DataFrame, forms: DataFrame) -> DataFrame:
-    """``(record_id, molecule)`` once for each record naming a molecule.
+    """Every record once per molecule its ``haystack`` names, with all its columns.
 
     Names repeat a lot across records, so the dictionary lookup runs on distinct
     haystacks and its result is joined back.
@@ -35,7 +35,7 @@ def facts_match(records: DataFrame, forms: DataFrame) -> DataFrame:
     texts = records.select("haystack").where("haystack != ''").distinct()
     keyed = texts.withColumn("text", F.col("haystack"))
     named = phrase_matches(keyed, "text", forms.select("term")).join(forms, "term").select("haystack", "molecule").distinct()
-    return records.join(named, "haystack").select("record_id", "molecule")
+    return records.join(named, "haystack").drop("haystack")
 
 
 def molecule_reports(products: DataFrame, variants: DataFrame) -> DataFrame:
@@ -43,8 +43,7 @@ def molecule_reports(products: DataFrame, variants: DataFrame) -> DataFrame:
 
     ``products(report_id, haystack)``, ``variants(molecule, term)`` of any length.
     """
-    records = products.select(F.col("report_id").alias("record_id"), "haystack")
-    hits = facts_match(records, variants).distinct()
+    hits = facts_match(products.select("report_id", "haystack"), variants).distinct()
     return hits.groupBy("molecule").agg(F.count(F.lit(1)).alias("reports"))
 
 
@@ -58,8 +57,7 @@ def years_marketed(approved: Column, as_of: str) -> Column:
 
 def approvals(applications: DataFrame, forms: DataFrame) -> DataFrame:
     """``molecule, first_approval, applications`` from ``(record_id, haystack, approval)``."""
-    dated = applications.where(F.col("approval").isNotNull())
-    hits = facts_match(dated, forms).join(dated.select("record_id", "approval"), "record_id")
+    hits = facts_match(applications.where(F.col("approval").isNotNull()), forms)
     return hits.groupBy("molecule").agg(
         parse_stamp(F.min("approval")).alias("first_approval"), F.count(F.lit(1)).alias("applications")
     ).where(F.col("first_approval").isNotNull())
@@ -74,8 +72,7 @@ def marketing(products: DataFrame, forms: DataFrame, molecules: DataFrame) -> Da
 
 def recalls(records: DataFrame, forms: DataFrame, molecules: DataFrame) -> DataFrame:
     """Open recalls, Class I among them, and the latest one."""
-    open_rows = records.where(F.col("status") == "Ongoing")
-    hits = facts_match(open_rows, forms).join(open_rows.select("record_id", "classification", "reason", "initiated"), "record_id")
+    hits = facts_match(records.where(F.col("status") == "Ongoing"), forms)
     latest = F.struct(F.coalesce("initiated", F.lit("")).alias("initiated"), "classification", "record_id")
     rolled = hits.groupBy("molecule").agg(
         F.count(F.lit(1)).alias("recalls_open"),
@@ -91,8 +88,7 @@ def recalls(records: DataFrame, forms: DataFrame, molecules: DataFrame) -> DataF
 
 def shortages(records: DataFrame, forms: DataFrame) -> DataFrame:
     """First current shortage, otherwise the last planned discontinuation, in file order ``seq``."""
-    wanted = records.where(F.col("status").isin("Current", "To Be Discontinued"))
-    hits = facts_match(wanted, forms).join(wanted.select("record_id", "status", "seq", "since"), "record_id")
+    hits = facts_match(records.where(F.col("status").isin("Current", "To Be Discontinued")), forms)
     current = F.col("status") == "Current"
     rank = F.struct(current.cast("int"), F.when(current, -F.col("seq")).otherwise(F.col("seq")))
     best = hits.groupBy("molecule").agg(F.max_by(F.struct("status", "since"), rank).alias("best"))

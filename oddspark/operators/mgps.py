@@ -17,10 +17,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oddspark import constants as K
 from oddspark.functions import gammadist as G
-from oddspark.functions.special import digamma, lgamma, log_add, over_all, round4
+from oddspark.functions.special import DIGAMMA_BODY, lgamma, log_add, over_all, round4
 from oddspark.functions.stats import with_expected
 
 EXACT_COUNTS_UP_TO = 1000
@@ -64,12 +65,15 @@ def _pack(params: tuple) -> np.ndarray:
 
 def _local_objective(table: pd.DataFrame) -> Callable[[list[np.ndarray]], list[float]]:
     n, e, w = (table[c].to_numpy(dtype=float) for c in ("n", "e", "w"))
-    constant = G.lgamma(n + 1.0)
+    # Counts repeat over many bins; their log-gammas are computed once per value.
+    levels, at = np.unique(n, return_inverse=True)
+    log_e = np.log(e)
+    constant = G.lgamma(levels + 1.0)[at]
 
     def component(alpha: float, beta: float) -> np.ndarray:
-        log_p = np.log(beta / (beta + e))
-        log_q = np.log(e / (beta + e))
-        return G.lgamma(alpha + n) - G.lgamma(np.array(alpha)) - constant + alpha * log_p + n * log_q
+        log_sum = np.log(beta + e)
+        shape = (G.lgamma(alpha + levels) - G.lgamma(np.array(alpha)))[at]
+        return shape - constant + alpha * (math.log(beta) - log_sum) + n * (log_e - log_sum)
 
     def one(theta: np.ndarray) -> float:
         with np.errstate(all="ignore"):
@@ -105,8 +109,12 @@ def _spark_objective(table: DataFrame) -> Callable[[list[np.ndarray]], list[floa
     return many
 
 
-def _simplex_search(objective: Callable[[list[np.ndarray]], list[float]], start: np.ndarray) -> np.ndarray:
-    """Nelder-Mead with standard coefficients; the trial points of a step are evaluated together."""
+def _simplex_search(objective: Callable[[list[np.ndarray]], list[float]], start: np.ndarray, together: bool) -> np.ndarray:
+    """Nelder-Mead with standard coefficients.
+
+    With ``together`` all trial points of a step are evaluated in one call (one
+    Spark job per step); otherwise each only when the step needs it.
+    """
     points = [start] + [start + np.eye(start.size)[i] * (0.05 * start[i] if start[i] else 0.00025) for i in range(start.size)]
     values = objective(points)
     for _ in range(MAX_STEPS):
@@ -116,21 +124,27 @@ def _simplex_search(objective: Callable[[list[np.ndarray]], list[float]], start:
         if spread <= TOLERANCE and values[-1] - values[0] <= TOLERANCE:
             break
         centre = np.mean(points[:-1], axis=0)
-        along = [centre + k * (centre - points[-1]) for k in (1.0, 2.0, 0.5, -0.5)]
-        f_reflect, f_expand, f_outside, f_inside = objective(along)
-        if f_reflect < values[0]:
-            pick = (along[1], f_expand) if f_expand < f_reflect else (along[0], f_reflect)
-        elif f_reflect < values[-2]:
-            pick = (along[0], f_reflect)
-        elif f_reflect < values[-1] and f_outside <= f_reflect:
-            pick = (along[2], f_outside)
-        elif f_reflect >= values[-1] and f_inside < values[-1]:
-            pick = (along[3], f_inside)
+        trial = {k: centre + k * (centre - points[-1]) for k in (1.0, 2.0, 0.5, -0.5)}
+        known = dict(zip(trial, objective(list(trial.values())))) if together else {}
+
+        def value(k: float) -> float:
+            if k not in known:
+                known[k] = objective([trial[k]])[0]
+            return known[k]
+
+        if value(1.0) < values[0]:
+            pick = 2.0 if value(2.0) < value(1.0) else 1.0
+        elif value(1.0) < values[-2]:
+            pick = 1.0
+        elif value(1.0) < values[-1]:
+            pick = 0.5 if value(0.5) <= value(1.0) else None
         else:
+            pick = -0.5 if value(-0.5) < values[-1] else None
+        if pick is None:
             points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
             values = [values[0]] + objective(points[1:])
-            continue
-        points[-1], values[-1] = pick
+        else:
+            points[-1], values[-1] = trial[pick], value(pick)
     return points[int(np.argmin(values))]
 
 
@@ -139,10 +153,8 @@ def fit(pairs: DataFrame, start: tuple = K.MGPS_START, max_local_bins: int = MAX
     table = bins(pairs).persist()
     try:
         if table.count() <= max_local_bins:
-            objective = _local_objective(table.toPandas())
-        else:
-            objective = _spark_objective(table)
-        return _unpack(_simplex_search(objective, _pack(start)))
+            return _unpack(_simplex_search(_local_objective(table.toPandas()), _pack(start), together=False))
+        return _unpack(_simplex_search(_spark_objective(table), _pack(start), together=True))
     finally:
         table.unpersist()
 
@@ -167,14 +179,18 @@ def with_posterior(pairs: DataFrame, params: Params) -> DataFrame:
 
 def with_ebgm(pairs: DataFrame, params: Params, keep_posterior: bool = False) -> DataFrame:
     """Posterior geometric mean of the reporting ratio, NULL for empty cells."""
-    df = with_posterior(pairs, params).withColumn("_psi", over_all(digamma, [F.col("_s1"), F.col("_s2")]))
+    df = with_posterior(pairs, params).withColumn("_shapes", F.array("_s1", "_s2"))
+    df = df.withColumn("_psi", over_all(DIGAMMA_BODY, "_shapes"))
     q = F.col("_q")
     mean = q * (F.col("_psi")[0] - F.log("_r1")) + (1.0 - q) * (F.col("_psi")[1] - F.log("_r2"))
-    df = df.withColumn("EBGM", F.exp(mean)).drop("_psi", "_e")
+    df = df.withColumn("EBGM", F.exp(mean)).drop("_psi", "_shapes", "_e")
     return df if keep_posterior else df.drop("_q", "_s1", "_r1", "_s2", "_r2")
 
 
-@F.pandas_udf("EB05 double, EB95 double")
+_BOUNDS = T.StructType([T.StructField("EB05", T.DoubleType()), T.StructField("EB95", T.DoubleType())])
+
+
+@F.pandas_udf(_BOUNDS)
 def _bounds(q: pd.Series, s1: pd.Series, r1: pd.Series, s2: pd.Series, r2: pd.Series) -> pd.DataFrame:
     table = np.column_stack([v.to_numpy(dtype=float) for v in (q, s1, r1, s2, r2)])
     out = np.full((len(table), 2), np.nan)

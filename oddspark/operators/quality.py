@@ -42,14 +42,14 @@ def control_summary(results: DataFrame) -> DataFrame:
 
 
 def _single_ror(baskets: DataFrame) -> DataFrame:
-    return S.with_single_ror(C.contingency(baskets)).select("drug", "reaction_pt", "a", "ROR")
+    return S.with_single_ror(C.contingency(B.eligible(baskets))).select("drug", "reaction_pt", "a", "ROR")
 
 
 def time_stability(baskets: DataFrame, first: str, last: str) -> DataFrame:
     """Does the ratio in a date window (with its own N) fall on the same side of 1 as the full one?"""
     window = F.col("receipt_date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
-    full = _single_ror(B.eligible(baskets)).select("drug", "reaction_pt", F.col("ROR").alias("ror_full"))
-    recent = _single_ror(B.eligible(baskets.where(window))).select(
+    full = _single_ror(baskets).select("drug", "reaction_pt", F.col("ROR").alias("ror_full"))
+    recent = _single_ror(baskets.where(window)).select(
         "drug", "reaction_pt", F.col("a").alias("a_recent"), F.col("ROR").alias("ror_recent")
     )
     same = F.coalesce((F.col("ror_recent") > 1) == (F.col("ror_full") > 1), F.lit(True))

@@ -49,7 +49,7 @@ def score_counts(
     N is counted from the data instead of being a constant, so a refresh cannot
     skew d.
     """
-    picked = C.candidates(C.contingency(baskets), designated, max_terms).drop("freq_rank")
+    picked = C.candidates(C.contingency(B.eligible(baskets)), designated, max_terms).drop("freq_rank")
     if stoplist is not None:
         picked = picked.join(stoplist.select("reaction_pt"), "reaction_pt", "left_anti")
     full = picked.where((F.col("b") > 0) & (F.col("c") > 0) & (F.col("d") > 0))

@@ -24,16 +24,12 @@ def score_by_stratum(baskets: DataFrame, stratum: str) -> DataFrame:
     tagged = ok.select(
         F.transform("drugs", lambda d: F.concat(tag, F.lit(sep), d)).alias("drugs"),
         F.transform("reactions", lambda r: F.concat(tag, F.lit(sep), r)).alias("reactions"),
-        tag.alias("stratum"),
     )
-    counts = C.margin_counts(tagged)
-    cells = counts.where("level = 0").select("drug", "reaction_pt", F.col("n").alias("a"))
-    by_drug = counts.where("level = 1").select("drug", F.col("n").alias("n_drug"))
-    by_reaction = counts.where("level = 2").select("reaction_pt", F.col("n").alias("n_reaction"))
-    sizes = ok.groupBy(tag.alias("stratum")).agg(F.count(F.lit(1)).alias("N"))
+    cells = C.pair_counts(tagged)
     part = lambda c, i: F.substring_index(c, sep, 1 if i == 0 else -1)
+    sizes = cells.groupBy(part("drug", 0).alias("stratum")).agg(F.sum("heads_both").alias("N"))
     table = (
-        cells.join(by_drug, "drug").join(by_reaction, "reaction_pt")
+        cells.select("drug", "reaction_pt", "a").join(C.drug_margin(cells), "drug").join(C.reaction_margin(cells), "reaction_pt")
         .select(part("drug", 0).alias("stratum"), part("drug", 1).alias("drug"), part("reaction_pt", 1).alias("reaction_pt"), "a",
                 (F.col("n_drug") - F.col("a")).alias("b"), (F.col("n_reaction") - F.col("a")).alias("c"))
         .join(sizes, "stratum")

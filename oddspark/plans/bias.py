@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from oddspark.functions.special import round4
 from oddspark.functions.stats import round_measures
+from oddspark.operators import baskets as B
 from oddspark.operators import bias as N
 from oddspark.operators import counts as C
 from oddspark.operators import scoring
@@ -105,7 +106,7 @@ ov AS (SELECT w.drug, w.reaction_pt, coalesce(bool_or(len(list_intersect(w, v))
 
 @query("indication_overlap", q.with_(q.a_cells(), _IND.format(k=_TOP_IND), _OVERLAP) + "SELECT drug, reaction_pt, indication_overlap FROM ov")
 def indication_overlap(g: Given):
-    pairs = C.contingency(g.orders()).select("drug", "reaction_pt")
+    pairs = C.contingency(B.eligible(g.orders())).select("drug", "reaction_pt")
     return N.indication_overlap(pairs, N.drug_indications(g.dated_orders(), _TOP_IND))
 
 

@@ -10,7 +10,9 @@ from oddspark.plans.registry import query
 from oddspark.sources import given as G
 from oddspark.sources.given import Given
 
-_HAY = F.lower(F.col("p_name"))
+def _hay():
+    return F.lower("p_name")
+
 
 
 def molecules(g: Given):
@@ -28,7 +30,7 @@ def _lines(g: Given):
 
 def applications(g: Given):
     """One application per order: its part names, one submission."""
-    named = _lines(g).groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_set(_HAY)), " | ").alias("haystack"))
+    named = _lines(g).groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_set(_hay())), " | ").alias("haystack"))
     submission = F.struct(
         F.when(F.col("o_orderstatus") == "O", "ORIG").otherwise("SUPPL").alias("submission_type"),
         F.when(F.col("o_orderpriority") == "5-LOW", "TA").otherwise("AP").alias("submission_status"),
@@ -40,13 +42,13 @@ def applications(g: Given):
 
 
 def directory(g: Given):
-    return g.table("part").where("p_size <= 45").select(F.col("p_partkey").alias("record_id"), _HAY.alias("haystack"))
+    return g.table("part").where("p_size <= 45").select(F.col("p_partkey").alias("record_id"), _hay().alias("haystack"))
 
 
 def recall_records(g: Given):
     group = F.pmod("l_linenumber", F.lit(3))
     return _lines(g).where("l_returnflag = 'R'").select(
-        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("record_id"), _HAY.alias("haystack"),
+        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("record_id"), _hay().alias("haystack"),
         F.when(F.col("l_linestatus") == "O", "Ongoing").otherwise("Terminated").alias("status"),
         F.when(group == 0, "Class I").when(group == 1, "Class II").otherwise("Class III").alias("classification"),
         F.lit("").alias("reason"), F.date_format("l_shipdate", "yyyyMMdd").alias("initiated"),
@@ -56,7 +58,7 @@ def recall_records(g: Given):
 def shortage_records(g: Given):
     state = F.when(F.col("p_type") == "PROMO", "Current").when(F.col("p_type") == "ECONOMY", "To Be Discontinued").otherwise("Resolved")
     return g.table("part").select(
-        F.col("p_partkey").alias("record_id"), _HAY.alias("haystack"), state.alias("status"), F.col("p_partkey").alias("seq"), F.col("p_brand").alias("since")
+        F.col("p_partkey").alias("record_id"), _hay().alias("haystack"), state.alias("status"), F.col("p_partkey").alias("seq"), F.col("p_brand").alias("since")
     )
 
 
@@ -66,7 +68,7 @@ _MATCH = r"regexp_matches({0}, '\b' || form || '\b')"
 
 @query("facts_match", q.with_(_FORMS) + f"SELECT DISTINCT p_partkey AS record_id, molecule FROM part JOIN f ON {_MATCH.format('lower(p_name)')}")
 def facts_match(g: Given):
-    records = g.table("part").select(F.col("p_partkey").alias("record_id"), _HAY.alias("haystack"))
+    records = g.table("part").select(F.col("p_partkey").alias("record_id"), _hay().alias("haystack"))
     return X.facts_match(records, X.molecule_forms(molecules(g)))
 
 

@@ -55,7 +55,7 @@ def expectedness(g: Given):
     return round_measures(out.select("drug", "reaction_pt", "a", "IC025", "tier", "label_found", "labelled", "boxed_warning"))
 
 
-_PER_LANGUAGE = 20
+_PER_LANGUAGE = 200
 _DICT = f"""dict AS (SELECT drug AS owner, lower(reaction_pt) AS term FROM (
   SELECT drug, reaction_pt, row_number() OVER (PARTITION BY drug ORDER BY n DESC, reaction_pt) AS rn FROM (
     SELECT drug, reaction_pt, count(*) AS n FROM b_rd JOIN b_rr USING (report_id) WHERE regexp_full_match(reaction_pt, '[A-Z]{{5,}}') GROUP BY ALL)) WHERE rn <= {_PER_LANGUAGE})"""
@@ -63,8 +63,8 @@ _DICT = f"""dict AS (SELECT drug AS owner, lower(reaction_pt) AS term FROM (
 
 def dictionary(g: Given):
     """Per language its commonest ASCII words of five letters or more, as catalogue entries with variants."""
-    words = C.margin_counts(B.eligible(g.documents())).where("level = 0").where(F.col("reaction_pt").rlike("^[A-Z]{5,}$"))
-    top = C.top_per_group(words, "drug", _PER_LANGUAGE, F.desc("n"), F.asc("reaction_pt"))
+    words = C.pair_counts(B.eligible(g.documents())).where(F.col("reaction_pt").rlike("^[A-Z]{5,}$"))
+    top = C.top_per_group(words, "drug", _PER_LANGUAGE, F.desc("a"), F.asc("reaction_pt"))
     entries = top.groupBy("drug").agg(F.sort_array(F.collect_list(F.lower("reaction_pt"))).alias("variants"))
     return entries.withColumn("epc", F.lit(None).cast("string"))
 
