@@ -96,10 +96,13 @@ def with_bcpnn(df: DataFrame) -> DataFrame:
     var = (tri[0] - tri[1] + tri[2] + tri[3] - 2.0 * tri[4]) / (_LN2 * _LN2)
     half = K.Z95 * F.sqrt(F.greatest(var, F.lit(0.0)))
     present = F.col("a") > 0
-    df = df.withColumns({"IC": F.when(present, mean), "_half": F.when(present, half)})
-    return df.withColumns(
-        {"IC025": F.col("IC") - F.col("_half"), "IC975": F.col("IC") + F.col("_half")}
-    ).drop("_half", "_psi", "_tri", "_args")
+    df = df.withColumns({"_ic": F.when(present, mean), "_half": F.when(present, half)})
+    # As a one-row generator the interval is a barrier for filters: a condition on the
+    # tier is applied to the finished columns instead of repeating the series below.
+    interval = F.struct(
+        F.col("_ic").alias("IC"), (F.col("_ic") - F.col("_half")).alias("IC025"), (F.col("_ic") + F.col("_half")).alias("IC975")
+    )
+    return df.select("*", F.inline(F.array(interval))).drop("_ic", "_half", "_psi", "_tri", "_args")
 
 
 def tier(ic025: Column, a: Column) -> Column:

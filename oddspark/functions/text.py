@@ -66,7 +66,7 @@ def interaction_terms(variants: Column, epc: Column, synonyms: Column) -> Column
     plain = F.trim(F.replace(F.coalesce(epc, F.lit("")), F.lit("[EPC]"), F.lit("")))
     none = F.array().cast("array<string>")
     names = F.concat(
-        F.transform(F.coalesce(variants, none), F.trim), F.array(plain), F.coalesce(synonyms, none)
+        F.transform(F.coalesce(variants, none), lambda t: F.trim(t)), F.array(plain), F.coalesce(synonyms, none)
     )
     long_enough = F.array_distinct(F.filter(names, lambda t: F.length(t) >= K.MIN_TERM_LENGTH))
     order = lambda p, q: F.when(F.length(p) != F.length(q), F.length(q) - F.length(p)).otherwise(
@@ -119,7 +119,7 @@ def display_term(term: Column) -> Column:
 
 
 def split_list(text: Column) -> Column:
-    return F.transform(F.split(text, "[,;\n]"), F.trim)
+    return F.transform(F.split(text, "[,;\n]"), lambda t: F.trim(t))
 
 
 def is_safe_query(text: Column) -> Column:
