@@ -83,7 +83,7 @@ _PROFILE_CUT = PB.PROFILE_SQL
     "dq_scored",
     q.with_(_PROFILE_CUT, "k AS (SELECT count(*) AS n, count(*) FILTER (NOT diagnosed) AS u, max(ROR) FILTER (drug = 'NATION_0' AND reaction_pt = 'SMALL RING') AS r FROM prof)")
     + f"""SELECT 'rows' AS rule, n::DOUBLE AS value, n > 1000 AS ok FROM k UNION ALL SELECT 'diagnosed_share', {q.r4('(n - u)::DOUBLE / n')}, (n - u)::DOUBLE / n >= 0.99 FROM k
-      UNION ALL SELECT 'undiagnosed_rows', u::DOUBLE, u = 0 FROM k UNION ALL SELECT 'anchor_ror', {q.r4('r')}, r > 1.5 AND r < 1.6 FROM k""",
+      UNION ALL SELECT 'undiagnosed_rows', u::DOUBLE, u = 0 FROM k UNION ALL SELECT 'anchor_ror', {q.r4('r')}, coalesce(r > 1.5 AND r < 1.6, false) FROM k""",
 )
 def dq_scored(g: Given):
     out = Q.expectations(PB.profiled(g), ("NATION_0", "SMALL RING"), 1.5, 1.6)

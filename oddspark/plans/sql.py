@@ -98,7 +98,7 @@ def stats(src: str, out: str, single: bool = False, extra: str = "") -> str:
          1+xa+xb AS p1, 1+xa+xc AS q1, 2+xa+xb+xc+xd AS m FROM {out}_1),
 {out}_3 AS (
   SELECT *, CASE WHEN ROR > 0 THEN exp(ln(ROR) - {K.Z95}*se) END AS ROR_lower, CASE WHEN ROR > 0 THEN exp(ln(ROR) + {K.Z95}*se) END AS ROR_upper,
-         ({psi('r1')} - {psi('(r1+r2)')} - {psi('p1')} - {psi('q1')} + 2*{psi('m')})/ln(2) AS IC,
+         CASE WHEN a > 0 THEN ({psi('r1')} - {psi('(r1+r2)')} - {psi('p1')} - {psi('q1')} + 2*{psi('m')})/ln(2) END AS IC,
          {K.Z95}*sqrt(greatest({tri('r1')} - {tri('(r1+r2)')} + {tri('p1')} + {tri('q1')} - 2*{tri('m')}, 0))/ln(2) AS half
   FROM {out}_2),
 {out}_4 AS (SELECT * EXCLUDE (se, r1, r2, p1, q1, m, half, xa, xb, xc, xd), IC - half AS IC025, IC + half AS IC975 FROM {out}_3),
