@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddspark import constants as K
 from oddspark.functions import text as X
-from oddspark.functions.special import round4
 from oddspark.operators.phrases import phrase_matches
 
 

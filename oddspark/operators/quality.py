@@ -10,7 +10,6 @@ from oddspark.functions import stats as S
 from oddspark.functions.special import round4
 from oddspark.operators import baskets as B
 from oddspark.operators import counts as C
-from oddspark.operators import scoring
 
 
 def run_controls(scored: DataFrame, controls: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddspark.functions.special import round4
 from oddspark.operators import labels as L
 from oddspark.operators import scoring
 from oddspark.operators import snapshots as N

@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 from oddspark import constants as K
 from oddspark.functions import display as D
 from oddspark.functions import text as X
-from oddspark.functions.special import round4
 from oddspark.functions.stats import round_measures
 from oddspark.operators import baskets as B
 from oddspark.operators import counts as C
 from oddspark.operators import labels as L
 from oddspark.operators import outcomes, scoring
-from oddspark.operators.bias import attach_active_comparator
 from oddspark.plans import bias as PB
 from oddspark.plans import sql as q
 from oddspark.plans.registry import query

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddspark.functions.special import round4
 from oddspark.operators import baskets as B
 from oddspark.operators import counts as C
 from oddspark.operators import mgps as M

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oddspark import constants as K
-from oddspark.functions import display as D
-from oddspark.functions import text as X
 from oddspark.functions.special import round4
 from oddspark.functions.stats import round_measures
 from oddspark.operators import labels as L
