@@ -3,15 +3,18 @@
 White space never joins two tokens in the tokenizers used here (they drop it), so
 a text is cut at ASCII white space and each distinct chunk is encoded once per
 worker by the tokenizer itself; the ids of a text are those of its chunks in
-order. The memory is bounded: a full cache starts anew.
+order. A chunk of letters with punctuation after it is the ids of the letters and
+those of the punctuation. The memory is bounded: a full cache starts anew.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
-#: Chunks a worker remembers.
-CACHE_CHUNKS = 300_000
+#: Chunks, and words without their punctuation, that a worker remembers.
+CACHE_CHUNKS = 700_000
+_LETTERS_THEN_MARKS = re.compile(rb"([A-Za-z\x80-\xff]+)([.,!?;:%&$#*]*)")
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -27,6 +30,7 @@ class Encoder:
 
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -34,6 +38,10 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.kind = {2: "<u2", 4: "<u4"}[width]
         self.cache: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(1 + self.tokenizer.get_vocab_size(), bool)
+        self.ends[[at for token, at in vocabulary.items() if token.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str, width: int = 4) -> "Encoder":
@@ -42,9 +50,52 @@ class Encoder:
             cls._kept[path, width] = cls(path, width)
         return cls._kept[path, width]
 
-    def encode(self, text: str) -> bytes:
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        import numpy as np
+
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in found]
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        """Ids of words made of letters only; encoded as one line, where the tokenizer marks the ends of words."""
         import numpy as np
 
+        if len(self.words) + len(words) > CACHE_CHUNKS:
+            self.words.clear()
+        ids = np.frombuffer(self._plain([b" ".join(words)])[0], self.kind)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            self.words.update(zip(words, self._plain(words)))
+            return
+        raw, width = ids.tobytes(), ids.itemsize
+        at = [0, *(ends * width).tolist()]
+        self.words.update((w, raw[a:b]) for w, a, b in zip(words, at, at[1:]))
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        whole, split, new = [], [], set()
+        for chunk in chunks:
+            found = _LETTERS_THEN_MARKS.fullmatch(chunk)
+            if found and found[1].decode("utf-8").isalpha():
+                word = found[1].lower()
+                split.append((chunk, word, found[2]))
+                if word not in self.words:
+                    new.add(word)
+                if found[2] and found[2] not in self.cache:
+                    self.cache[found[2]] = self._plain([found[2]])[0]
+            else:
+                whole.append(chunk)
+        own = self.words
+        if new:
+            self._learn_words(list(new))
+            if any(w not in self.words for _, w, _ in split):  # a full cache started anew
+                self._learn_words(list({w for _, w, _ in split}))
+            own = self.words
+        for chunk, word, marks in split:
+            self.cache[chunk] = own[word] + self.cache[marks] if marks else own[word]
+        if whole:
+            self.cache.update(zip(whole, self._plain(whole)))
+
+    def encode(self, text: str) -> bytes:
         chunks = text.encode("utf-8").split()
         cache = self.cache
         missing = [c for c in set(chunks) if c not in cache]
@@ -52,7 +103,5 @@ class Encoder:
             if len(cache) + len(missing) > CACHE_CHUNKS:
                 cache.clear()
                 missing = list(set(chunks))
-            found = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in missing], add_special_tokens=False)
-            for chunk, encoding in zip(missing, found):
-                cache[chunk] = np.array(encoding.ids, self.kind).tobytes()
+            self._learn(missing)
         return b"".join([cache[c] for c in chunks])
