@@ -94,7 +94,7 @@ def schedule(per_source: DataFrame) -> DataFrame:
     parts = (
         spans.where("slots > 0")
         .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / PART_SLOTS))).alias("_part"))
-        .repartition("source", "_part")
+        .repartition(int(per_source.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "_part")
     )
     low = F.col("_part") * PART_SLOTS
     high = F.least(low + PART_SLOTS, F.col("slots")) - 1

@@ -51,6 +51,8 @@ STEM_SHARE = 1 / 200
 #: Levels of the joint share of stems that the classifier sees.
 LEVELS = 8
 ROUNDS = 6
+#: A document of unknown label counts as so many of known label, lest the unknown ones pull the classes apart.
+UNKNOWN_WEIGHT = 0.1
 
 
 class Voters:
@@ -225,7 +227,7 @@ def fit_label_model(patterns: DataFrame, voters: int, lexicons: int, rounds: int
             for batch in batches:
                 votes = _bits(batch.column(0).to_numpy(), voters)
                 y = np.array([-1 if v is None else v for v in batch.column(1).to_pylist()], int).reshape(-1)
-                n = batch.column(2).to_numpy().astype(float)
+                n = batch.column(2).to_numpy() * np.where(y >= 0, 1.0, UNKNOWN_WEIGHT)
                 p = model.posterior(votes) if model else np.where(votes[:, :lexicons].any(axis=1), 0.7, 0.02)
                 p = np.where(y >= 0, y, p)
                 for label, w in ((0, n * (1 - p)), (1, n * p)):
@@ -241,7 +243,7 @@ def fit_label_model(patterns: DataFrame, voters: int, lexicons: int, rounds: int
     return model
 
 
-def fit_linear(rows: list[tuple], size: int, words: int, least_docs: int = 20, passes: int = 12, l2: float = 1e-3, batch: int = 256):
+def fit_linear(rows: list[tuple], size: int, words: int, least_docs: int = 20, steps: int = 4000, l2: float = 3e-3, batch: int = 64):
     """Logistic regression on index arrays and soft labels by adaptive gradients; returns weights and intercept.
 
     Of the first ``words`` features (hashed words) only those in ``least_docs``
@@ -261,7 +263,7 @@ def fit_linear(rows: list[tuple], size: int, words: int, least_docs: int = 20, p
     draw = np.random.default_rng(3)
     lists = [x[kept[x]] for x, _ in rows]
     squares, bias_squares = np.full(size, 1e-4), 1e-4
-    for _ in range(passes):
+    for _ in range(-(-steps * batch // len(rows))):
         order = draw.permutation(len(rows))
         for at in range(0, len(order), batch):
             take = order[at : at + batch]
@@ -271,11 +273,11 @@ def fit_linear(rows: list[tuple], size: int, words: int, least_docs: int = 20, p
             slip = 1 / (1 + np.exp(-score.clip(-30, 30))) - target[take]
             touched, back = np.unique(ids, return_inverse=True)
             slope = np.bincount(back, slip[row], len(touched)) / len(take)
-            slope += np.where(touched < words, l2, l2 / 100) * weight[touched]
+            slope += np.where(touched < words, l2, l2 / 1000) * weight[touched]
             squares[touched] += slope**2
-            weight[touched] -= 0.1 * slope / np.sqrt(squares[touched])
+            weight[touched] -= 0.2 * slope / np.sqrt(squares[touched])
             bias_squares += slip.mean() ** 2
-            bias -= 0.1 * slip.mean() / bias_squares**0.5
+            bias -= 0.2 * slip.mean() / bias_squares**0.5
     return weight, bias
 
 
