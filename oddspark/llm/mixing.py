@@ -11,10 +11,13 @@ source (modulo its number of blocks: the stream is read again from its start).
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddspark.llm.common import publish, text_of, word_count
+from oddspark.llm.common import WORD, publish, text_of, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -170,3 +173,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     )
     none = placed.where("size = 0").select(*key, F.lit(0).cast("long").alias("taken"))
     return taken.unionByName(none).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def first_words(text: Column, words: Column) -> Column:
+    """The text up to the end of its ``words``-th word; null stays null."""
+
+    @F.pandas_udf("string")
+    def head(texts: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _head(t, int(n)) for t, n in zip(texts, counts)], dtype=object)
+
+    return head(text, words)
+
+
+def _head(text: str, words: int) -> str:
+    end = 0
+    for _, found in zip(range(words), re.finditer(WORD, text)):
+        end = found.end()
+    return text[:end]

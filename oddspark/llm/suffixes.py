@@ -292,15 +292,19 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``.
+    """All columns of ``docs`` with ``kept`` (text), ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``.
 
     Texts are judged as UTF-8 bytes, null as empty; a byte goes if some window of
     200 bytes that covers it also starts anywhere else in the table. Texts shorter
     than a window lose nothing. Repeated rows count as different documents, so they
-    remove each other. The new columns must not be among those of ``docs``.
+    remove each other. ``kept`` leaves out characters of which only some bytes stay;
+    the hash is of all bytes that stay. Columns of ``docs`` named like a new one are
+    replaced.
     """
+    new = ["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    kept_columns = [c for c in docs.columns if c.lower() not in new]
     source = docs.select(
-        F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")
+        F.struct(*kept_columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")
     ).withColumn("tag", F.xxhash64("text"))
     runs = repeated_windows(source).select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"), "runs")
 
@@ -320,9 +324,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     gone = np.cumsum(edge[:-1]) > 0
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                     removed, spans = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                for column, value in zip(out, (kept, len(raw), removed, spans, hashlib.sha256(kept).hexdigest())):
+                for column, value in zip(out, (kept.decode("utf-8", "ignore"), len(raw), removed, spans, hashlib.sha256(kept).hexdigest())):
                     column.append(value)
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), *(pa.array(c, k) for c, k in zip(out, kinds))],
                 ["row", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
@@ -331,6 +335,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = source.join(runs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tag") == F.col("_t")), "left")
     fields = [T.StructField("row", source.schema["row"].dataType)]
     made = T.StructType(fields)
-    for name, kind in (("kept", T.BinaryType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())):
+    for name, kind in (("kept", T.StringType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())):
         made = made.add(name, kind)
-    return joined.select("row", "text", "runs").mapInArrow(remove, made).select("row.*", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return joined.select("row", "text", "runs").mapInArrow(remove, made).select("row.*", *new)

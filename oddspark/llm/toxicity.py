@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oddspark.llm.common import publish, text_of
 from oddspark.llm.sampling import crc_of_id, learnable
@@ -281,8 +282,8 @@ def fit_linear(rows: list[tuple], size: int, words: int, least_docs: int = 20, s
     return weight, bias
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``doc_id, held_out, score, predicted, posterior, votes`` for every row.
+def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, carry: bool = False) -> DataFrame:
+    """``doc_id, held_out, score, predicted, posterior, votes`` for every row; with ``carry`` also the row as ``row``.
 
     Labels are learned only from ids whose CRC-32 modulo 5 is not 0; other documents
     take no part in any fit. Null texts count as empty: no voter fires and the score
@@ -364,6 +365,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
                 ["doc_id", "held_out", "score", "predicted", "posterior", "votes"],
             )
 
-    return texts.select("doc_id", "held_out", "text").mapInArrow(
-        score, "doc_id long, held_out boolean, score double, predicted int, posterior double, votes int"
-    )
+    scored = "doc_id long, held_out boolean, score double, predicted int, posterior double, votes int"
+    if not carry:
+        return texts.select("doc_id", "held_out", "text").mapInArrow(score, scored)
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found in score([batch]):
+                yield pa.RecordBatch.from_arrays([*found.columns, batch.column(3)], [*found.schema.names, "row"])
+
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.struct("*").alias("row"))
+    whole = whole.withColumn("held_out", fold).select("doc_id", "held_out", "text", "row")
+    return whole.mapInArrow(beside, T._parse_datatype_string(scored).add("row", whole.schema["row"].dataType))
