@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddspark.llm import fingerprints, mixing, packing, quality, simhash, suffixes, toxicity
+from oddspark.llm import chat, covertree, fingerprints, mixing, packing, quality, simhash, suffixes, tokenscan, toxicity
 from oddspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.chained(table(spark, sf_dir, "documents"))
+
+
+@query("op1_covertree")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_tokencounts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenscan.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op9_chat", chat.CHECK_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
