@@ -65,16 +65,16 @@ def collapse(conversations: DataFrame) -> DataFrame:
 
 CHECK_SQL = """
 WITH t AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, 'unknown'), coalesce(text, '')) AS at,
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, 'unknown'), coalesce(text, '')) AS pos,
          '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS shown
   FROM conversations
 ), p AS (
-  SELECT conv_id, at, string_agg(shown, '') OVER (PARTITION BY conv_id ORDER BY at ROWS UNBOUNDED PRECEDING) AS upto,
+  SELECT conv_id, pos, string_agg(shown, '') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto,
          count(*) OVER (PARTITION BY conv_id) AS n
   FROM t
 )
 SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS copies, upto AS rendered
 FROM p c
-WHERE at = n AND NOT EXISTS (SELECT 1 FROM p WHERE p.at < p.n AND p.at = c.n AND p.upto = c.upto)
+WHERE pos = n AND NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n AND p.pos = c.n AND p.upto = c.upto)
 GROUP BY n, upto
 """

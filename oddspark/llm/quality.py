@@ -72,6 +72,7 @@ class Machine:
         import numpy as np
 
         if not rows:
+            self.factor[:] = 0
             return self
         draw = np.random.default_rng(3)
         share = min(max(float(np.mean(target)), 0.01), 0.99)
