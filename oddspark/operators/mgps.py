@@ -1,34 +1,32 @@
 """Gamma-Poisson shrinkage: table-level fit, EBGM and its credible bounds.
 
-The prior is estimated from every scored pair. Spark reduces the pairs to
-weighted bins of (observed, expected); only those bins, whose number depends on
-the bin grid and not on the number of pairs, reach the optimiser. Should the
-grid itself be too large, each step of the search is a Spark aggregation
-instead.
+The prior is fitted to every pair with a positive expected count. Spark groups the
+pairs by their exact (observed, expected) values and evaluates, in one aggregation a
+step, the likelihood, its gradient and the outer products of the scores of all
+groups; only these 31 sums reach the driver, which takes a quasi-Newton step.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oddspark import constants as K
 from oddspark.functions import gammadist as G
-from oddspark.functions.special import DIGAMMA_BODY, lgamma, log_add, over_all, round4
+from oddspark.functions.special import DIGAMMA_BODY, lgamma, over_all, round4
 from oddspark.functions.stats import with_expected
 
-EXACT_COUNTS_UP_TO = 1000
-MAX_LOCAL_BINS = 1_000_000
-MAX_STEPS = 4000
-TOLERANCE = 1e-6
-LARGEST = 1e6
+MAX_STEPS = 300
+#: The fit has converged when a step promises less than this much likelihood per pair.
+TOLERANCE = 1e-7
 
 
 class Params(NamedTuple):
@@ -39,57 +37,113 @@ class Params(NamedTuple):
     pi: float
 
 
-def bins(pairs: DataFrame) -> DataFrame:
-    """``n, e, w``: mean observed, mean expected and number of pairs per bin.
+class Fit(NamedTuple):
+    params: Params
+    pairs: float
+    start_likelihood: float
+    likelihood: float
+    steps: int
+    converged: bool
 
-    Counts up to 1,000 are kept exact, larger ones and the expected count are
-    binned at three decimals of their logarithm.
-    """
+
+def groups(pairs: DataFrame) -> DataFrame:
+    """``n, e, w``: observed count, expected count, number of pairs that have both."""
     usable = with_expected(pairs).where((F.col("expected") > 0) & F.col("a").isNotNull())
-    n = F.col("a").cast("double")
-    key = F.when(F.col("a") <= EXACT_COUNTS_UP_TO, n).otherwise(-F.round(F.log(n), 3))
     return (
-        usable.groupBy(key.alias("_n"), F.round(F.log("expected"), 3).alias("_e"))
-        .agg(F.avg(n).alias("n"), F.avg("expected").alias("e"), F.count(F.lit(1)).alias("w"))
-        .select("n", "e", F.col("w").cast("double").alias("w"))
+        usable.groupBy(F.col("a").cast("double").alias("n"), F.col("expected").alias("e"))
+        .agg(F.count(F.lit(1)).cast("double").alias("w"))
     )
 
 
-def _unpack(theta: np.ndarray) -> Params:
-    """Parameters from the unconstrained search space.
-
-    Where one component is best a fixed ratio, its shape and rate grow without end
-    along a flat ridge. Beyond ``LARGEST`` the component no longer changes, only
-    the cancellation error does, so the search stops there.
-    """
-    positive = np.exp(np.clip(theta[:4], -math.log(LARGEST), math.log(LARGEST)))
-    return Params(*[float(v) for v in positive], float(1.0 / (1.0 + np.exp(-np.clip(theta[4], -30.0, 30.0)))))
+def _from_free(theta: np.ndarray) -> Params:
+    return Params(*np.exp(theta[:4]).tolist(), float(0.5 * (1 + math.tanh(theta[4] / 2))))
 
 
-def _pack(params: tuple) -> np.ndarray:
-    *positive, pi = params
-    return np.array([*[math.log(v) for v in positive], math.log(pi / (1 - pi))])
+def _to_free(params: tuple) -> np.ndarray:
+    return np.concatenate((np.log(params[:4]), [math.log(params[4]) - math.log1p(-params[4])]))
 
 
-def _local_objective(table: pd.DataFrame) -> Callable[[list[np.ndarray]], list[float]]:
-    n, e, w = (table[c].to_numpy(dtype=float) for c in ("n", "e", "w"))
-    # Counts repeat over many bins; their log-gammas are computed once per value.
-    levels, at = np.unique(n, return_inverse=True)
-    log_e = np.log(e)
-    constant = G.lgamma(levels + 1.0)[at]
+def scores(n: np.ndarray, e: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Log likelihood of each pair, and its derivatives by the logarithms of the shapes and rates and the logit of the weight.
 
-    def component(alpha: float, beta: float) -> np.ndarray:
-        log_sum = np.log(beta + e)
-        shape = (G.lgamma(alpha + levels) - G.lgamma(np.array(alpha)))[at]
-        return shape - constant + alpha * (math.log(beta) - log_sum) + n * (log_e - log_sum)
+    Within a component a count is negative binomial. A mixture's derivative by a
+    component's parameter is that of the component times the posterior share of it.
+    """
+    parts, slopes = [], []
+    for alpha, beta, share in ((params.alpha1, params.beta1, params.pi), (params.alpha2, params.beta2, 1 - params.pi)):
+        near = np.log(beta) - np.log(beta + e)
+        parts.append(
+            math.log(share) + G.lgamma(n + alpha) - G.lgamma(np.array(alpha)) - G.lgamma(n + 1.0) + alpha * near + n * (np.log(e) - np.log(beta + e))
+        )
+        slopes.append(alpha * (G.digamma(n + alpha) - G.digamma(np.array(alpha)) + near))
+        slopes.append(alpha - (n + alpha) * beta / (beta + e))
+    total = np.logaddexp(*parts)
+    first = np.exp(parts[0] - total)
+    held = [first, first, 1 - first, 1 - first]
+    return total, np.stack([s * h for s, h in zip(slopes, held)] + [first - params.pi], axis=1)
+
+
+def _sums(table: DataFrame, params: Params) -> tuple[float, np.ndarray, np.ndarray]:
+    """Likelihood, gradient and information over all groups, one aggregation."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(31)
+        for batch in batches:
+            n, e, w = (batch.column(i).to_numpy() for i in range(3))
+            value, slope = scores(n, e, params)
+            out += np.concatenate(([w @ value], w @ slope, ((slope * w[:, None]).T @ slope).ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(31)), pa.array(out)], ["at", "value"])
+
+    rows = table.select("n", "e", "w").mapInArrow(add, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    out = np.zeros(31)
+    for r in rows:
+        out[r["at"]] = r["value"]
+    return out[0], out[1:6], out[6:].reshape(5, 5)
+
+
+def maximise(pairs: DataFrame, start: tuple = K.MGPS_START) -> Fit:
+    """Maximum likelihood by quasi-Newton steps; tells whether it converged.
+
+    The first curvature is the outer products of the scores; each accepted step
+    improves it by the change of the gradient.
+    """
+    table = groups(pairs).persist()
+    try:
+        count = table.agg(F.sum("w")).first()[0] or 0.0
+        theta = _to_free(start)
+        value, slope, information = _sums(table, _from_free(theta))
+        inverse = np.linalg.inv(information + 1e-3 * np.diag(np.diag(information)) + 1e-9 * np.eye(5))
+        begun, step, size = value, 0, 1.0
+        while step < MAX_STEPS:
+            step += 1
+            move = inverse @ slope
+            gain = slope @ move
+            if gain <= TOLERANCE * max(count, 1.0):
+                return Fit(_from_free(theta), count, float(begun), float(value), step, True)
+            move *= size * min(1.0, 2.0 / np.abs(move).max())
+            after, steeper, _ = _sums(table, _from_free(theta + move))
+            if not (np.isfinite(after) and after >= value + 1e-4 * (slope @ move)):
+                size /= 4
+                if size < 1e-12:
+                    break
+                continue
+            turn, size = slope - steeper, 1.0
+            if move @ turn > 0:
+                scale = 1 / (move @ turn)
+                left = np.eye(5) - scale * np.outer(move, turn)
+                inverse = left @ inverse @ left.T + scale * np.outer(move, move)
+            theta, value, slope = theta + move, after, steeper
+        return Fit(_from_free(theta), count, float(begun), float(value), step, False)
+    finally:
+        table.unpersist()
 
-    def one(theta: np.ndarray) -> float:
-        with np.errstate(all="ignore"):
-            p = _unpack(theta)
-            total = np.logaddexp(np.log(p.pi) + component(p.alpha1, p.beta1), np.log1p(-p.pi) + component(p.alpha2, p.beta2))
-        return -float(np.sum(w * total)) if np.all(np.isfinite(total)) else 1e12
 
-    return lambda thetas: [one(t) for t in thetas]
+def fit(pairs: DataFrame, start: tuple = K.MGPS_START) -> Params:
+    """Hyper-parameters over all pairs with a positive expected count; fails if the search did not converge."""
+    found = maximise(pairs, start)
+    if not found.converged:
+        raise RuntimeError(f"the shrinkage fit did not converge: {found}")
+    return found.params
 
 
 def _component(n: Column, e: Column, alpha: float, beta: float) -> Column:
@@ -98,75 +152,6 @@ def _component(n: Column, e: Column, alpha: float, beta: float) -> Column:
     return lgamma(shape + n) - lgamma(shape) + alpha * F.log(beta / (beta + e)) + n * F.log(e / (beta + e))
 
 
-def _spark_objective(table: DataFrame) -> Callable[[list[np.ndarray]], list[float]]:
-    """All candidate vectors of a step in one aggregation over the bins."""
-
-    def many(thetas: list[np.ndarray]) -> list[float]:
-        exprs = []
-        for i, theta in enumerate(thetas):
-            p = _unpack(theta)
-            n, e = F.col("n"), F.col("e")
-            mix = log_add(
-                math.log(p.pi) + _component(n, e, p.alpha1, p.beta1),
-                math.log1p(-p.pi) + _component(n, e, p.alpha2, p.beta2),
-            )
-            exprs.append(F.sum(F.col("w") * (lgamma(n + 1.0) - mix)).alias(f"f{i}"))
-        row = table.agg(*exprs).first()
-        return [v if v is not None and math.isfinite(v) else 1e12 for v in row]
-
-    return many
-
-
-def _simplex_search(objective: Callable[[list[np.ndarray]], list[float]], start: np.ndarray, together: bool) -> np.ndarray:
-    """Nelder-Mead with standard coefficients.
-
-    With ``together`` all trial points of a step are evaluated in one call (one
-    Spark job per step); otherwise each only when the step needs it.
-    """
-    points = [start] + [start + np.eye(start.size)[i] * (0.05 * start[i] if start[i] else 0.00025) for i in range(start.size)]
-    values = objective(points)
-    for _ in range(MAX_STEPS):
-        order = np.argsort(values, kind="stable")
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        spread = max(np.max(np.abs(p - points[0])) for p in points[1:])
-        if spread <= TOLERANCE and values[-1] - values[0] <= TOLERANCE:
-            break
-        centre = np.mean(points[:-1], axis=0)
-        trial = {k: centre + k * (centre - points[-1]) for k in (1.0, 2.0, 0.5, -0.5)}
-        known = dict(zip(trial, objective(list(trial.values())))) if together else {}
-
-        def value(k: float) -> float:
-            if k not in known:
-                known[k] = objective([trial[k]])[0]
-            return known[k]
-
-        if value(1.0) < values[0]:
-            pick = 2.0 if value(2.0) < value(1.0) else 1.0
-        elif value(1.0) < values[-2]:
-            pick = 1.0
-        elif value(1.0) < values[-1]:
-            pick = 0.5 if value(0.5) <= value(1.0) else None
-        else:
-            pick = -0.5 if value(-0.5) < values[-1] else None
-        if pick is None:
-            points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
-            values = [values[0]] + objective(points[1:])
-        else:
-            points[-1], values[-1] = trial[pick], value(pick)
-    return points[int(np.argmin(values))]
-
-
-def fit(pairs: DataFrame, start: tuple = K.MGPS_START, max_local_bins: int = MAX_LOCAL_BINS) -> Params:
-    """Maximum-likelihood hyper-parameters over all pairs with a positive expected count."""
-    table = bins(pairs).persist()
-    try:
-        if table.count() <= max_local_bins:
-            return _unpack(_simplex_search(_local_objective(table.toPandas()), _pack(start), together=False))
-        return _unpack(_simplex_search(_spark_objective(table), _pack(start), together=True))
-    finally:
-        table.unpersist()
-
-
 def with_posterior(pairs: DataFrame, params: Params) -> DataFrame:
     """Posterior mixture per pair: weight ``_q``, shapes and rates of both components."""
     n = F.col("a").cast("double")

