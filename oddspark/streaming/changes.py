@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,17 +38,22 @@ def start_change_stream(
 
     def handle(batch: DataFrame, _epoch: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()  # read once for the dates and once for each of them
         days = [r[0] for r in batch.select("snapshot_date").distinct().orderBy("snapshot_date").collect()]
         for day in days:
             scored = batch.where(F.col("snapshot_date") == F.lit(day)).drop("snapshot_date")
             existing = _read_or_none(spark, notes_path)
             fresh = run_cycle(spark, scored, snapshot_path, str(day), users, tracked, existing=existing)
             fresh.write.mode("append").parquet(notes_path)
+        batch.unpersist()
 
     return arrivals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-    return spark.read.parquet(path) if exists else None
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

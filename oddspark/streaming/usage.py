@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +54,10 @@ def sessions(log: DataFrame, user: str = "user_id", ts: str = "ts", gap: str = "
 
 
 class TrailingRate(StatefulProcessor):
-    """Exact trailing-window count per client; keys idle for a whole window are dropped by a timer."""
+    """Exact trailing-window count per client, also for late rows; keys idle for a whole window are dropped by a timer.
+
+    A late row counts what came before it; counts that were already given are not taken back.
+    """
 
     def __init__(self, seconds: int, limit: int):
         self.length_us = seconds * 1_000_000
@@ -64,19 +68,18 @@ class TrailingRate(StatefulProcessor):
         self.recent = handle.getListState("recent", T.StructType([T.StructField("us", T.LongType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        fresh = pd.concat(list(rows), ignore_index=True).sort_values("us", kind="stable")
-        seen = [int(r[0]) for r in self.recent.get()] if self.recent.exists() else []
-        stamps = sorted(seen + [int(v) for v in fresh["us"]])
-        us = pd.Series(stamps)
-        counts = [
-            int(us.searchsorted(int(t), side="right") - us.searchsorted(int(t) - self.length_us, side="left")) for t in fresh["us"]
-        ]
-        keep = [t for t in stamps if t >= stamps[-1] - self.length_us]
-        self.recent.put([(t,) for t in keep])
+        fresh = np.sort(pd.concat(list(rows), ignore_index=True)["us"].to_numpy(np.int64))
+        seen = np.array([r[0] for r in self.recent.get()] if self.recent.exists() else [], np.int64)
+        stamps = np.sort(np.concatenate((seen, fresh)))
+        counts = np.searchsorted(stamps, fresh, side="right") - np.searchsorted(stamps, fresh - self.length_us, side="left")
+        # a row as late as the watermark allows still needs the window before it
+        oldest = min(timerValues.getCurrentWatermarkInMs() * 1000, int(stamps[-1])) - self.length_us
+        keep = stamps[stamps >= oldest]
+        self.recent.put([(int(t),) for t in keep])
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer((keep[-1] + self.length_us) // 1000 + 1)
-        yield pd.DataFrame({"client": [key[0]] * len(fresh), "us": fresh["us"].to_numpy(), "in_window": counts, "limited": [c >= self.limit for c in counts]})
+        self.handle.registerTimer((int(keep[-1]) + self.length_us) // 1000 + 1)
+        yield pd.DataFrame({"client": [key[0]] * len(fresh), "us": fresh, "in_window": counts, "limited": counts >= self.limit})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         self.recent.clear()

@@ -115,6 +115,21 @@ def test_trailing_rate_stream_equals_batch(spark):
     assert got == want
 
 
+def test_trailing_rate_counts_rows_before_a_late_one(spark):
+    """Three batches; the last one is late, and needs rows older than a window before the newest."""
+    batches = [[100, 130, 150], [400], [160]]
+    source = folder()
+    schema = "client long, ts timestamp"
+    out = folder()
+    stream = usage.trailing_rate(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), "client", "ts", 60, 3, late="10 minutes")
+    check = folder()
+    for stamps in batches:
+        spark.createDataFrame([(1, s) for s in stamps], "client long, s long").select("client", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination(180)
+    got = {r["us"] // 1_000_000: r["in_window"] for r in spark.read.parquet(out).collect()}
+    assert got == {100: 1, 130: 2, 150: 3, 400: 1, 160: 4}
+
+
 def test_rolling_rate_matches_a_plain_window(spark):
     hot = [(1, t) for t in range(0, 4000, 7)] + [(2, 5), (2, 64), (2, 65), (2, 66)]
     df = spark.createDataFrame(hot, "client long, s long").withColumn("ts", F.timestamp_seconds("s"))
