@@ -36,8 +36,9 @@ def build_session(app_name: str = "oddspark", master: str | None = None, **conf:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (single machine, tests) a temporary folder
-    is chosen, once per session, and recorded in the session.
+    A session that runs on this machine alone may lack one; then a temporary folder
+    is chosen, once per session, and recorded in the session. On a cluster a missing
+    folder is an error: executors could not read what others wrote.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -45,6 +46,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = spark.conf.get("spark.oddspark.sharedDir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.oddspark.sharedDir", folder)
     return folder
