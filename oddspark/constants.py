@@ -6,11 +6,8 @@ TIER_STRONG = 2.0
 TIER_MODERATE = 1.0
 TIER_WEAK = 0.0
 Z95 = 1.96
-MAX_TERMS = 60
-DIAGNOSED_PER_DRUG = 120
 SPIKE_SHARE = 0.25
 INDICATION_SHARE = 0.5
-INDICATION_BUCKETS = 40
 COLLAPSE_SHRINKAGE = 0.9
 NOTE_SHRINKAGE = 0.5
 IC025_RISE = 0.5
@@ -18,8 +15,6 @@ LABELS_PER_DRUG = 3
 MIN_TERM_LENGTH = 5
 QUOTE_LIMIT = 400
 MAX_MEDICINES = 12
-MAX_SYMPTOMS = 10
-MAX_LIST_DRUGS = 10
 LIST_PER_DRUG = 8
 LIST_SHARED_ROWS = 60
 MAX_TRACKED = 40

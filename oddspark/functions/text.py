@@ -127,5 +127,6 @@ def is_safe_query(text: Column) -> Column:
     return F.coalesce(q.rlike(K.SAFE_QUERY) & ~F.contains(q, F.lit("..")), F.lit(False))
 
 
-def redact(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"api_key=[^&\s]+", "api_key=***REDACTED***")
+def redact(text: Column, keys: tuple[str, ...] = ("api_key",), mark: str = "[hidden]") -> Column:
+    """URL parameters with the given names lose their values; null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), rf"\b({'|'.join(keys)})=[^&\s]*", f"$1={mark}")

@@ -5,7 +5,9 @@ The unit of every count is the report, so all counting starts from
 non-null entries. A basket holds at most the catalogue of drugs and the
 vocabulary of reactions, however many rows a report has: repeated rows are
 combined before the shuffle, so one report holding a large share of the input
-arrives as a few small partial sets.
+arrives as a few small partial sets. The sets are sorted: which member of a basket
+comes first decides what a report counts for in the marginals, and a task that
+runs again must decide alike.
 
 Building baskets costs one shuffle on the report (none if the source already
 nests a report in one row); everything after that is narrow until the small
@@ -41,8 +43,8 @@ def from_rows(
         rows.where(F.col(report_col).isNotNull())
         .groupBy(F.col(report_col).alias("report_id"))
         .agg(
-            F.collect_set(F.col(drug_col)).alias("drugs"),
-            F.collect_set(canonical_reaction(F.col(reaction_col))).alias("reactions"),
+            F.array_sort(F.collect_set(F.col(drug_col))).alias("drugs"),
+            F.array_sort(F.collect_set(canonical_reaction(F.col(reaction_col)))).alias("reactions"),
             *extra,
         )
     )

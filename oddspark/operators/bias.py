@@ -31,11 +31,13 @@ def month_from_text(stamp: Column) -> Column:
     return F.when(F.length(stamp) >= 6, F.to_date(F.try_to_timestamp(F.concat(ym, F.lit("01")), F.lit("yyyyMMdd"))))
 
 
-def plausible_month(month: Column, last_year: int) -> Column:
-    return F.year(month).between(K.TREND_FIRST_YEAR, last_year)
+def plausible_month(month: Column, last_year: int | None = None) -> Column:
+    """Months from the first year on, and up to ``last_year`` if the caller knows the year of the extract."""
+    first = F.year(month) >= K.TREND_FIRST_YEAR
+    return first if last_year is None else first & (F.year(month) <= last_year)
 
 
-def burstiness(trend: DataFrame, last_year: int, threshold: float = K.SPIKE_SHARE) -> DataFrame:
+def burstiness(trend: DataFrame, last_year: int | None = None, threshold: float = K.SPIKE_SHARE) -> DataFrame:
     """Share of the busiest month; impossible months are dropped first and counted."""
     ok = plausible_month(F.col("month"), last_year)
     kept = F.when(ok, F.col("n"))
@@ -55,7 +57,7 @@ def burstiness(trend: DataFrame, last_year: int, threshold: float = K.SPIKE_SHAR
     )
 
 
-def dense_trend(trend: DataFrame, last_year: int) -> DataFrame:
+def dense_trend(trend: DataFrame, last_year: int | None = None) -> DataFrame:
     """One row per month between a pair's first and last report, gaps filled with 0."""
     ok = trend.where(plausible_month(F.col("month"), last_year))
     span = ok.groupBy("drug", "reaction_pt").agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
@@ -63,7 +65,7 @@ def dense_trend(trend: DataFrame, last_year: int) -> DataFrame:
     return months.join(ok, ["drug", "reaction_pt", "month"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def rollup_trend(trend: DataFrame, last_year: int) -> DataFrame:
+def rollup_trend(trend: DataFrame, last_year: int | None = None) -> DataFrame:
     """Plot series per pair: months, quarters beyond 40 points, years beyond 116 quarters.
 
     ``bucket`` is the bucket's first month. Unit and zero filling follow from the
@@ -123,8 +125,8 @@ def trend_map(trend: DataFrame) -> DataFrame:
 # --- indications --------------------------------------------------------------------
 
 
-def drug_indications(baskets: DataFrame, limit: int | None = K.INDICATION_BUCKETS) -> DataFrame:
-    """Reports per drug and indication. Spellings are folded before the cut, so none is split."""
+def drug_indications(baskets: DataFrame, limit: int | None = None) -> DataFrame:
+    """Reports per drug and indication, all of them or the ``limit`` commonest. Spellings are folded first, so none is split."""
     folded = F.array_distinct(F.filter(F.transform("indications", lambda t: F.upper(F.trim(t))), lambda t: t != ""))
     counts = (
         baskets.select(F.explode("drugs").alias("drug"), folded.alias("indications"))
@@ -140,22 +142,30 @@ def drug_indications(baskets: DataFrame, limit: int | None = K.INDICATION_BUCKET
 def indication_overlap(pairs: DataFrame, indications: DataFrame) -> DataFrame:
     """Flag reactions half of whose words occur in one recorded indication of the drug.
 
-    ``indications`` holds at most the top buckets of a drug, so the word sets kept
-    per drug are few; drugs without any indication get False.
+    Which reaction resembles which indication does not depend on the drug, so it is
+    found once for the distinct names of both, by a join on the word, and then looked
+    up for the indications of each drug. Drugs without any indication get False.
     """
-    sets = (
-        indications.withColumn("words", X.word_set(F.col("indication")))
-        .where(F.size("words") > 0)
-        .groupBy("drug")
-        .agg(F.collect_set(F.array_sort("words")).alias("_sets"))
+    reactions = pairs.select("reaction_pt").distinct().withColumn("_words", X.word_set(F.col("reaction_pt")))
+    left = reactions.select("reaction_pt", F.size("_words").alias("_n"), F.explode("_words").alias("_word"))
+    right = indications.select("indication").distinct().select("indication", F.explode(X.word_set(F.col("indication"))).alias("_word"))
+    alike = (
+        left.join(right, "_word")
+        .groupBy("reaction_pt", "indication", "_n")
+        .agg(F.count(F.lit(1)).alias("_common"))
+        .where(F.col("_common") >= F.col("_n") * K.INDICATION_SHARE)
+    )
+    flagged = (
+        indications.select("drug", "indication")
+        .join(alike, "indication")
+        .select("drug", "reaction_pt")
+        .distinct()
+        .withColumn("_hit", F.lit(True))
     )
-    words = X.word_set(F.col("reaction_pt"))
-    hit = F.exists("_sets", lambda s: X.shares_words(F.col("_words"), s))
     return (
-        pairs.join(sets, "drug", "left")
-        .withColumn("_words", words)
-        .withColumn("indication_overlap", F.coalesce((F.size("_words") > 0) & hit, F.lit(False)))
-        .drop("_sets", "_words")
+        pairs.join(flagged, ["drug", "reaction_pt"], "left")
+        .withColumn("indication_overlap", F.coalesce("_hit", F.lit(False)))
+        .drop("_hit")
     )
 
 
@@ -242,18 +252,20 @@ def bias_profile(
     bursts: DataFrame,
     indications: DataFrame,
     ratios: DataFrame,
-    top_n: int = K.DIAGNOSED_PER_DRUG,
+    top_n: int | None = None,
 ) -> DataFrame:
-    """Attach the diagnostics to the ``top_n`` rows per drug; all others stay NULL with ``diagnosed`` false.
+    """Attach the diagnostics to every row, or only to the ``top_n`` rows per drug, with ``diagnosed`` telling which.
 
-    ``scored`` carries unrounded measures.
+    ``scored`` carries unrounded measures. Without a cut no row is ranked and nothing
+    of a drug has to meet in one task.
     """
-    order = Window.partitionBy("drug").orderBy(F.desc_nulls_last("IC025"), "reaction_pt")
-    ranked = scored.withColumn("diagnosed", F.row_number().over(order) <= top_n)
+    ranked = scored.withColumn("diagnosed", F.lit(True))
+    if top_n is not None:
+        order = Window.partitionBy("drug").orderBy(F.desc_nulls_last("IC025"), "reaction_pt")
+        ranked = scored.withColumn("diagnosed", F.row_number().over(order) <= top_n)
     full = attach_active_comparator(indication_overlap(ranked, indications), ratios).join(
         bursts.select("drug", "reaction_pt", "burstiness", "notoriety_spike"), ["drug", "reaction_pt"], "left"
     )
     flags = ["burstiness", "notoriety_spike", "indication_overlap", "active_comparator_ror", "active_comparator_shrinkage"]
-    return full.withColumns({c: F.when(F.col("diagnosed"), F.col(c)) for c in flags}).select(
-        *scored.columns, "diagnosed", *flags
-    )
+    shown = full if top_n is None else full.withColumns({c: F.when(F.col("diagnosed"), F.col(c)) for c in flags})
+    return shown.select(*scored.columns, "diagnosed", *flags)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddspark import constants as K
 from oddspark.operators import baskets as B
 
 
@@ -140,8 +139,8 @@ def designated_counts(baskets: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def candidates(cells: DataFrame, designated: DataFrame | None, max_terms: int = K.MAX_TERMS) -> DataFrame:
-    """Per drug the most reported reactions plus every designated event seen with it.
+def candidates(cells: DataFrame, designated: DataFrame | None, max_terms: int) -> DataFrame:
+    """Per drug the ``max_terms`` most reported reactions plus every designated event seen with it.
 
     Adds ``dme`` and ``freq_rank`` (NULL if the term is in only as a designated
     event). The rank filter is applied locally before the shuffle, so a drug with
@@ -164,6 +163,14 @@ def candidates(cells: DataFrame, designated: DataFrame | None, max_terms: int =
     return ranked.unionByName(listed)
 
 
+def flag_designated(cells: DataFrame, designated: DataFrame | None) -> DataFrame:
+    """Every pair, with ``dme`` telling whether its reaction is on the list."""
+    if designated is None:
+        return cells.withColumn("dme", F.lit(False))
+    terms = designated.select("reaction_pt").distinct().withColumn("_listed", F.lit(True))
+    return cells.join(terms, "reaction_pt", "left").withColumn("dme", F.coalesce("_listed", F.lit(False))).drop("_listed")
+
+
 def top_per_group(df: DataFrame, group: str, n: int, *order: Column, rank: str = "rank") -> DataFrame:
     """First ``n`` rows of each group in the given order, with their rank."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(rank) <= n)

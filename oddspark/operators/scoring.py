@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddspark import constants as K
 from oddspark.functions import stats as S
 from oddspark.operators import baskets as B
 from oddspark.operators import counts as C
@@ -40,16 +39,17 @@ def score_counts(
     baskets: DataFrame,
     stoplist: DataFrame | None = None,
     designated: DataFrame | None = None,
-    max_terms: int = K.MAX_TERMS,
+    max_terms: int | None = None,
     ordered: bool = True,
     rounded: bool = True,
 ) -> DataFrame:
-    """Count path: candidates per drug, stoplist removed, rows with an empty cell dropped.
+    """Count path: all pairs, or the candidates per drug if ``max_terms`` is given; stoplist removed, rows with an empty cell dropped.
 
     N is counted from the data instead of being a constant, so a refresh cannot
     skew d.
     """
-    picked = C.candidates(C.contingency(B.eligible(baskets)), designated, max_terms).drop("freq_rank")
+    cells = C.contingency(B.eligible(baskets))
+    picked = C.flag_designated(cells, designated) if max_terms is None else C.candidates(cells, designated, max_terms).drop("freq_rank")
     if stoplist is not None:
         picked = picked.join(stoplist.select("reaction_pt"), "reaction_pt", "left_anti")
     full = picked.where((F.col("b") > 0) & (F.col("c") > 0) & (F.col("d") > 0))

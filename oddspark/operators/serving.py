@@ -114,7 +114,7 @@ def compare_two(scored: DataFrame, left: str, right: str) -> DataFrame:
 
 def list_panels(scored: DataFrame, drugs: list[str], tiers: tuple = STRONG, n: int = K.LIST_PER_DRUG) -> DataFrame:
     """Best rows of each listed drug, with the drug's report total and number of reactions."""
-    listed = scored.where(F.col("drug").isin(*drugs[: K.MAX_LIST_DRUGS]))
+    listed = scored.where(F.col("drug").isin(*drugs))
     sizes = listed.groupBy("drug").agg(F.max(F.col("a") + F.col("b")).alias("total_reports"), F.count(F.lit(1)).alias("reactions"))
     best = top_rows(listed.where(F.col("tier").isin(*tiers)), n).select("drug", "reaction_pt", "a", "ROR", "IC025", "rank")
     return sizes.join(best, "drug", "left")
@@ -135,7 +135,6 @@ def shared_reactions(scored: DataFrame, drugs: list[str], tiers: tuple = STRONG,
 
 def worksheet_grid(spark: SparkSession, scored: DataFrame, medicines: list[str], symptoms: list[str]) -> DataFrame:
     """Every symptom against every medicine in entry order; cells without a pair are kept."""
-    medicines, symptoms = medicines[: K.MAX_MEDICINES], symptoms[: K.MAX_SYMPTOMS]
     listed = lambda names: F.array(*[F.lit(n) for n in names])
     grid = (
         spark.range(1)

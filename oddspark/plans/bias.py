@@ -14,9 +14,8 @@ from oddspark.plans import sql as q
 from oddspark.plans.registry import query
 from oddspark.sources.given import Given
 
-LAST_YEAR = 2000  # a later month counts as impossible, so that the rule has something to drop
 _BASE = ",\n".join([q.a_cells(), q.A_HEAD, q.A_TREND])
-_OK = f"year(month) BETWEEN 1968 AND {LAST_YEAR}"
+_OK = "year(month) >= 1968"
 _BURST = f"""a_burst AS (
   SELECT *, top::DOUBLE / reports AS raw_share FROM (
     SELECT drug, reaction_pt, CAST(coalesce(sum(n) FILTER ({_OK}), 0) AS BIGINT) AS reports,
@@ -38,12 +37,12 @@ def trend_map(g: Given):
 
 @query("burstiness", q.with_(_BASE, _BURST) + f"SELECT drug, reaction_pt, reports, dropped, {_BURST_COLS.format(t=0.25)} FROM a_burst")
 def burstiness(g: Given):
-    return N.burstiness(N.pair_trend(g.dated_orders()), LAST_YEAR)
+    return N.burstiness(N.pair_trend(g.dated_orders()))
 
 
 @query("burstiness_low_bar", q.with_(_BASE, _BURST) + f"SELECT drug, reaction_pt, reports, dropped, {_BURST_COLS.format(t=0.10)} FROM a_burst")
 def burstiness_low_bar(g: Given):
-    return N.burstiness(N.pair_trend(g.dated_orders()), LAST_YEAR, threshold=0.10)
+    return N.burstiness(N.pair_trend(g.dated_orders()), threshold=0.10)
 
 
 @query(
@@ -53,7 +52,7 @@ def burstiness_low_bar(g: Given):
     + "SELECT drug, reaction_pt, month, coalesce(n, 0) AS n FROM grid LEFT JOIN ok USING (drug, reaction_pt, month)",
 )
 def dense_trend(g: Given):
-    return N.dense_trend(N.pair_trend(g.dated_orders()), LAST_YEAR)
+    return N.dense_trend(N.pair_trend(g.dated_orders()))
 
 
 _ROLL = f"""ok AS (SELECT *, year(month)*12 + month(month) - 1 AS i FROM a_trend WHERE {_OK}),
@@ -67,7 +66,7 @@ roll AS (SELECT drug, reaction_pt, CASE width WHEN 1 THEN 'monthly' WHEN 3 THEN
 
 @query("trend_rollup", q.with_(_BASE, _ROLL) + "SELECT * FROM roll")
 def trend_rollup(g: Given):
-    return N.rollup_trend(N.pair_trend(g.dated_orders()), LAST_YEAR)
+    return N.rollup_trend(N.pair_trend(g.dated_orders()))
 
 
 @query(
@@ -82,20 +81,18 @@ def trend_rollup(g: Given):
 )
 def trend_summary(g: Given):
     trend = N.pair_trend(g.dated_orders())
-    return N.series_summary(N.rollup_trend(trend, LAST_YEAR), N.burstiness(trend, LAST_YEAR, threshold=0.10))
+    return N.series_summary(N.rollup_trend(trend), N.burstiness(trend, threshold=0.10))
 
 
 # --- indications ------------------------------------------------------------------
 
-_IND = """ind0 AS (SELECT d.drug, upper(trim(l.indication)) AS indication, count(DISTINCT d.report_id) AS reports
-  FROM a_rd d JOIN a_lines l USING (report_id) GROUP BY ALL),
-ind AS (SELECT drug, indication, reports FROM (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY reports DESC, indication) AS rn FROM ind0) WHERE rn <= {k})"""
-_TOP_IND = 4  # of six kinds, so that the cut removes something
+_IND = """ind AS (SELECT d.drug, upper(trim(l.indication)) AS indication, count(DISTINCT d.report_id) AS reports
+  FROM a_rd d JOIN a_lines l USING (report_id) GROUP BY ALL)"""
 
 
-@query("drug_indications", q.with_(q.A_LINES, q.A_RD, _IND.format(k=_TOP_IND)) + "SELECT * FROM ind")
+@query("drug_indications", q.with_(q.A_LINES, q.A_RD, _IND) + "SELECT * FROM ind")
 def drug_indications(g: Given):
-    return N.drug_indications(g.dated_orders(), _TOP_IND)
+    return N.drug_indications(g.dated_orders())
 
 
 _OVERLAP = f"""words AS (SELECT drug, reaction_pt, {q.word_set('reaction_pt')} AS w FROM a_t),
@@ -104,10 +101,10 @@ ov AS (SELECT w.drug, w.reaction_pt, coalesce(bool_or(len(list_intersect(w, v))
   FROM words w LEFT JOIN iw ON iw.drug = w.drug GROUP BY ALL)"""
 
 
-@query("indication_overlap", q.with_(q.a_cells(), _IND.format(k=_TOP_IND), _OVERLAP) + "SELECT drug, reaction_pt, indication_overlap FROM ov")
+@query("indication_overlap", q.with_(q.a_cells(), _IND, _OVERLAP) + "SELECT drug, reaction_pt, indication_overlap FROM ov")
 def indication_overlap(g: Given):
     pairs = C.contingency(B.eligible(g.orders())).select("drug", "reaction_pt")
-    return N.indication_overlap(pairs, N.drug_indications(g.dated_orders(), _TOP_IND))
+    return N.indication_overlap(pairs, N.drug_indications(g.dated_orders()))
 
 
 # --- comparators ----------------------------------------------------------------------
@@ -169,16 +166,13 @@ def direct_comparator(g: Given):
     return N.direct_comparator(g.orders(), _dim(g))
 
 
-TOP_N = 40
 SPIKE = 0.05
 _PROFILE = ",\n".join(
     [
-        q.A_SCORED, q.A_HEAD, q.A_TREND, _BURST, _IND.format(k=_TOP_IND), _OVERLAP, _DIM, _AC,
+        q.A_SCORED, q.A_HEAD, q.A_TREND, _BURST, _IND, _OVERLAP, _DIM, _AC,
         f"bb AS (SELECT drug, reaction_pt, {_BURST_COLS.format(t=SPIKE)} FROM a_burst)",
-        f"""prof AS (SELECT s.*, rn <= {TOP_N} AS diagnosed, CASE WHEN rn <= {TOP_N} THEN bb.burstiness END AS burstiness,
-  CASE WHEN rn <= {TOP_N} THEN bb.notoriety_spike END AS notoriety_spike, CASE WHEN rn <= {TOP_N} THEN ov.indication_overlap END AS indication_overlap,
-  CASE WHEN rn <= {TOP_N} THEN ratio END AS active_comparator_ror, CASE WHEN rn <= {TOP_N} AND ROR > 0 THEN (ROR - ratio) / ROR END AS active_comparator_shrinkage
-  FROM (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY IC025 DESC NULLS LAST, reaction_pt) AS rn FROM a_s) s
+        """prof AS (SELECT s.*, true AS diagnosed, bb.burstiness, bb.notoriety_spike, ov.indication_overlap,
+  ratio AS active_comparator_ror, CASE WHEN ROR > 0 THEN (ROR - ratio) / ROR END AS active_comparator_shrinkage FROM a_s s
   LEFT JOIN bb USING (drug, reaction_pt) LEFT JOIN ov USING (drug, reaction_pt) LEFT JOIN ac USING (drug, reaction_pt))""",
     ]
 )
@@ -191,10 +185,9 @@ def profiled(g: Given):
     scored = scoring.score(base, ordered=False, rounded=False)
     return N.bias_profile(
         scored,
-        N.burstiness(N.pair_trend(base), LAST_YEAR, SPIKE),
-        N.drug_indications(base, _TOP_IND),
+        N.burstiness(N.pair_trend(base), threshold=SPIKE),
+        N.drug_indications(base),
         N.active_comparator(base, _dim(g)),
-        TOP_N,
     )
 
 

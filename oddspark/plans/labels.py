@@ -174,7 +174,7 @@ def display_term(g: Given):
 
 @query(
     "redact_log",
-    r"SELECT page_id, regexp_replace(url || '&api_key=' || page_id || 'secret&x=1', 'api_key=[^&\s]+', 'api_key=***REDACTED***', 'g') AS line FROM pages",
+    r"SELECT page_id, regexp_replace(url || '&api_key=' || page_id || 'secret&x=1', 'api_key=[^&\s]*', 'api_key=[hidden]', 'g') AS line FROM pages",
 )
 def redact_log(g: Given):
     line = F.concat("url", F.lit("&api_key="), F.col("page_id").cast("string"), F.lit("secret&x=1"))
@@ -187,10 +187,10 @@ _PCT = lambda x: f"CAST(round_even(({x})*100.0, 0) AS BIGINT) || '%'"
 _OUT = {"deaths": "death", "hospitalisations": "hospitalisation", "life_threatening": "life-threatening", "disabling": "disability"}
 FORMATTED = f"""CASE WHEN ROR IS NULL THEN '-' WHEN ROR_lower IS NOT NULL AND ROR_upper IS NOT NULL THEN {_F2('ROR')} || ' [' || {_F2('ROR_lower')} || '-' || {_F2('ROR_upper')} || ']' ELSE {_F2('ROR')} END AS ror_text,
   coalesce({_F2('IC025')}, '-') AS ic025_text, {_F2('IC025')} || ' to ' || {_F2('IC975')} AS ic_interval,
-  CASE WHEN ROR IS NOT NULL AND active_comparator_ror IS NOT NULL THEN {_F1('ROR')} || ' -> ' || {_F1('active_comparator_ror')} || ' vs similar drugs' ||
-    CASE WHEN active_comparator_shrinkage > 0 THEN ' (' || {_PCT('active_comparator_shrinkage')} || ' lower)' WHEN active_comparator_shrinkage <= 0 THEN ' (higher, not specific to the drug)' ELSE '' END END AS comparator_note,
-  array_to_string(list_filter([CASE WHEN notoriety_spike THEN 'Notoriety spike' END, CASE WHEN indication_overlap THEN 'Indication confounding' END,
-    CASE WHEN active_comparator_ror IS NOT NULL AND active_comparator_shrinkage >= 0.9 THEN 'Does not survive comparison' END], lambda v: v IS NOT NULL), '; ') AS flags"""
+  CASE WHEN ROR IS NOT NULL AND active_comparator_ror IS NOT NULL THEN {_F1('ROR')} || ' -> ' || {_F1('active_comparator_ror')} || ' among peers' ||
+    CASE WHEN active_comparator_shrinkage > 0 THEN ' (' || {_PCT('active_comparator_shrinkage')} || ' less)' WHEN active_comparator_shrinkage <= 0 THEN ' (peers report it as often)' ELSE '' END END AS comparator_note,
+  array_to_string(list_filter([CASE WHEN notoriety_spike THEN 'burst of reports' END, CASE WHEN indication_overlap THEN 'may be the treated condition' END,
+    CASE WHEN active_comparator_ror IS NOT NULL AND active_comparator_shrinkage >= 0.9 THEN 'vanishes beside peers' END], lambda v: v IS NOT NULL), '; ') AS flags"""
 OUTCOME_TEXT = "array_to_string(list_filter([" + ", ".join(
     f"CASE WHEN {c} > 0 THEN {c} || ' {t}' || CASE WHEN {c} <= a THEN ' (' || {_PCT(f'{c}::DOUBLE / a')} || ')' ELSE '' END END" for c, t in _OUT.items()
 ) + "], lambda v: v IS NOT NULL), '; ') AS outcomes"

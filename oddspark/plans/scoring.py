@@ -181,15 +181,15 @@ def candidates(g: Given):
 
 _COUNTED = ",\n".join(
     [
-        q.a_cells(), _CANDIDATES,
-        f"kept AS (SELECT drug, reaction_pt, a, b, c, d, N, dme FROM cand WHERE reaction_pt NOT LIKE '%{G.STOPLIST_SUFFIX}' AND b > 0 AND c > 0 AND d > 0)",
+        q.a_cells(),
+        f"kept AS (SELECT drug, reaction_pt, a, b, c, d, N, reaction_pt IN ({_DME}) AS dme FROM a_t WHERE reaction_pt NOT LIKE '%{G.STOPLIST_SUFFIX}' AND b > 0 AND c > 0 AND d > 0)",
         q.stats("kept", "k_s", single=True),
     ]
 )
 
 
 def counted(g: Given, **kw):
-    return scoring.score_counts(g.orders(), g.stoplist(), g.designated(), _TOP, **kw)
+    return scoring.score_counts(g.orders(), g.stoplist(), g.designated(), **kw)
 
 
 @query("score_counts", q.with_(_COUNTED) + f"SELECT {q.SCORED}, dme FROM k_s")

@@ -10,7 +10,6 @@ from oddspark.functions.stats import round_measures
 from oddspark.operators import labels as L
 from oddspark.operators import lookup, scoring
 from oddspark.operators import serving as V
-from oddspark.operators.counts import top_per_group
 from oddspark.plans import bias as PB
 from oddspark.plans import labels as PL
 from oddspark.plans import sql as q
@@ -61,10 +60,10 @@ def drug_lookup(g: Given):
 
 
 _TERMS = ["les", "und^", "ent", "zzzz"]
-_REACTION_HITS = f"""q AS (SELECT unnest([{q.quoted(_TERMS)}]) AS query), k AS (SELECT query, replace(replace(upper(trim(query)), '^', ''), '''', '') AS key FROM q),
-nm AS (SELECT DISTINCT reaction_pt AS name FROM b_rr),
-ex AS (SELECT query, name, true AS exact FROM k JOIN nm ON name = key),
-hits AS (SELECT * FROM ex UNION ALL SELECT query, name, false FROM k JOIN nm ON contains(name, key) WHERE query NOT IN (SELECT query FROM ex))"""
+_REACTION_HITS = f"""q AS MATERIALIZED (SELECT unnest([{q.quoted(_TERMS)}]) AS query), k AS MATERIALIZED (SELECT query, replace(replace(upper(trim(query)), '^', ''), '''', '') AS key FROM q),
+nm AS MATERIALIZED (SELECT DISTINCT reaction_pt AS name FROM b_rr),
+ex AS MATERIALIZED (SELECT query, name, true AS exact FROM k JOIN nm ON name = key),
+hits AS (SELECT * FROM ex UNION ALL SELECT query, name, false FROM k JOIN nm ON contains(name, key) WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.query = k.query))"""
 
 
 @query("reaction_lookup", q.with_(q.b_rr(), _REACTION_HITS) + "SELECT query, name AS reaction_pt, exact FROM hits")
@@ -231,16 +230,13 @@ def reaction_profile(g: Given):
     return round_measures(out.select("drug", "reaction_pt", "a", "IC025", "tier", "diagnosed", "ror_text", "ic025_text", "ic_interval", "comparator_note", "flags"))
 
 
-_DIAG = 120
-_B_TOP = f"""bd AS (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY IC025 DESC NULLS LAST, reaction_pt) <= {_DIAG} AS diagnosed FROM b_s),
-best AS (SELECT drug, reaction_pt, IC025, a, CAST(rk AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY IC025 DESC NULLS LAST, reaction_pt) AS rk FROM bd WHERE diagnosed AND tier = 'strong') WHERE rk <= 3),
+_B_TOP = """best AS (SELECT drug, reaction_pt, IC025, a, CAST(rk AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY IC025 DESC NULLS LAST, reaction_pt) AS rk FROM b_s WHERE tier = 'strong') WHERE rk <= 3),
 trk AS (SELECT c_custkey AS user_id, ['en', 'fr', 'de', 'es'][c_custkey % 4 + 1] AS drug FROM customer)"""
 
 
 @query("tracked_top", q.with_(q.B_SCORED, _B_TOP) + f"SELECT user_id, drug, reaction_pt, {q.r4('IC025', 'IC025')}, a, rank FROM trk JOIN best USING (drug)")
 def tracked_top(g: Given):
-    scored = _documents(g)
-    diagnosed = top_per_group(scored, "drug", _DIAG, F.desc_nulls_last("IC025"), F.asc("reaction_pt")).drop("rank").withColumn("diagnosed", F.lit(True))
+    diagnosed = _documents(g).withColumn("diagnosed", F.lit(True))
     return round_measures(V.tracked_top(diagnosed, g.tracked()))
 
 

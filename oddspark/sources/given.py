@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from oddspark.operators import baskets as B
 
@@ -19,7 +18,6 @@ DESIGNATED = ["RED BOLT", "HOT ROD", "COLD GEAR", "OLD ANVIL"]
 NOUNS = ["ring", "rod", "gear", "bolt", "anvil", "plate", "widget", "gizmo"]
 NOUN_CLASSES = {"solid": ["anvil", "plate"], "gadget": ["widget", "gizmo"]}
 AS_OF = "2024-01-31"
-SPREAD_BELOW = 64 * 1024 * 1024
 PREVIOUS_DATE, CURRENT_DATE = "2024-01-30", "2024-01-31"
 RECENT = ("2000-01-01", "2000-12-31")
 LANGUAGES = ["en", "fr", "de", "es"]
@@ -27,32 +25,13 @@ POSITIVE_CONTROLS = [("fr", "LES"), ("de", "UND"), ("es", "EL"), ("es", "DEL")]
 NEGATIVE_CONTROLS = [("en", "UND")]
 
 
-# Schemas of files seen in this process: reading footers again costs a job per table.
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 class Given:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        path = f"{self.sf_dir}/{name}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
-
-    def spread(self, name: str, key: str, *columns: str) -> DataFrame:
-        """Columns of a table, dealt out to all cores by ``key`` if the table is small.
-
-        A small file written as one row group is read by a single task, which then
-        carries all the per-row work. Below 64 MB the exchange costs next to nothing
-        and also serves the grouping by ``key`` that follows; larger inputs have
-        enough splits of their own and are left alone.
-        """
-        rows = self.table(name).select(key, *columns)
-        size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        return rows.repartition(self.spark.sparkContext.defaultParallelism, key) if size < SPREAD_BELOW else rows
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     # --- orders as reports -------------------------------------------------------
 
@@ -73,7 +52,7 @@ class Given:
         """
         parts = self.table("part").select("p_partkey", F.col("p_name").alias("reaction_pt"), F.col("p_type").alias("indication"))
         return (
-            self.spread("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+            self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
             .join(self.table("supplier").select("s_suppkey", "s_nationkey", F.col("s_name").alias("molecule")), F.col("l_suppkey") == F.col("s_suppkey"))
             .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
             .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -139,7 +118,7 @@ class Given:
 
     def documents(self, level: str = "lang", until: Column | None = None) -> DataFrame:
         """Baskets of documents; a document is one row already, so nothing is shuffled."""
-        docs = self.spread("documents", "doc_id", "text", level)
+        docs = self.table("documents").select("doc_id", "text", level)
         if until is not None:
             docs = docs.where(until)
         return docs.select(
