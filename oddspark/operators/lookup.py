@@ -66,12 +66,14 @@ def reaction_matches(queries: DataFrame, reactions: DataFrame) -> DataFrame:
     return match_names(keyed, names)
 
 
-def resolve_strict(queries: DataFrame, matches: DataFrame, shown: int = 8) -> DataFrame:
+def resolve_strict(queries: DataFrame, matches: DataFrame, shown: int | None = None) -> DataFrame:
     """Accept an exact match or a single partial one; otherwise report the candidates."""
     grouped = matches.groupBy("query").agg(
         F.count(F.lit(1)).alias("n"), F.bool_or("exact").alias("exact"), F.min("name").alias("first")
     )
-    ranked = matches.withColumn("_rn", F.row_number().over(Window.partitionBy("query").orderBy("name"))).where(F.col("_rn") <= shown)
+    ranked = matches
+    if shown is not None:
+        ranked = matches.withColumn("_rn", F.row_number().over(Window.partitionBy("query").orderBy("name"))).where(F.col("_rn") <= shown)
     named = ranked.groupBy("query").agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("candidates"))
     status = (
         F.when(F.col("n").isNull(), "unknown").when(F.col("exact"), "exact").when(F.col("n") == 1, "unique").otherwise("ambiguous")

@@ -17,10 +17,11 @@ def _evidence() -> list[Column]:
     return [F.desc_nulls_last("IC025"), F.asc("reaction_pt")]
 
 
-def catalogue(scored: DataFrame, aliases: DataFrame, tiers: tuple = STRONG, brands: int = 4) -> DataFrame:
-    """Per drug: report total, scored reactions, strong reactions and a few other names."""
+def catalogue(scored: DataFrame, aliases: DataFrame, tiers: tuple = STRONG, brands: int | None = None) -> DataFrame:
+    """Per drug: report total, scored reactions, strong reactions and its other names (all, or the first ``brands``)."""
     other = aliases.where(F.col("alias") != F.lower("drug")).distinct()
-    few = top_per_group(other, "drug", brands, F.asc("alias")).groupBy("drug").agg(
+    shown = other if brands is None else top_per_group(other, "drug", brands, F.asc("alias"))
+    few = shown.groupBy("drug").agg(
         F.array_join(F.sort_array(F.collect_list("alias")), ", ").alias("brands")
     )
     facts = scored.groupBy("drug").agg(

@@ -79,7 +79,7 @@ _STRICT = ["nation_0", "land 7", "n_24", "_1", "nowhere"]
     "resolve_names",
     q.with_(q.A_LINES, "a_t AS (SELECT DISTINCT drug FROM a_lines)", _A_ALIAS, _DRUG_HITS.replace(q.quoted(_DRUGS), q.quoted(_STRICT)))
     + """, c AS (SELECT query, count(*) AS n, bool_or(exact) AS exact, min(name) AS f FROM hits GROUP BY query),
-      s AS (SELECT query, string_agg(name, ', ' ORDER BY name) AS names FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY name) AS rn FROM hits) WHERE rn <= 8 GROUP BY query)
+      s AS (SELECT query, string_agg(name, ', ' ORDER BY name) AS names FROM hits GROUP BY query)
       SELECT q.query, CASE WHEN n IS NULL THEN 'unknown' WHEN exact THEN 'exact' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS status, coalesce(n, 0) AS matches,
       CASE WHEN exact OR n = 1 THEN f END AS resolved, CASE WHEN NOT exact AND n > 1 THEN names END AS candidates FROM q LEFT JOIN c USING (query) LEFT JOIN s USING (query)""",
 )
@@ -100,7 +100,7 @@ def parse_lists(g: Given):
     return lookup.parse_lists(g.table("documents"), "doc_id", "text", K.MAX_MEDICINES)
 
 
-_BRANDS = "br AS (SELECT drug, string_agg(alias, ', ' ORDER BY alias) AS brands FROM (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY alias) AS rn FROM al WHERE alias <> lower(drug)) WHERE rn <= 4 GROUP BY drug)"
+_BRANDS = "br AS (SELECT drug, string_agg(alias, ', ' ORDER BY alias) AS brands FROM al WHERE alias <> lower(drug) GROUP BY drug)"
 
 
 @query(
