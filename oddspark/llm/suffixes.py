@@ -8,8 +8,8 @@ whole, and different pieces of one key are the input of the merge.
 Within a task the pieces of many keys are dealt to shards. Every shard gets its
 suffix order, its transform (the bytes before each suffix) and its own repeats. The
 merge then starts with all suffixes in one interval and refines the interleaving:
-the suffixes of length h + 4 are the suffixes of length h put in order of the four
-bytes before them, as read from the shards' transforms, and two neighbours stay in
+the order by h + 8 bytes is the order by h bytes put in order of the eight bytes
+before each suffix, as read from the shards' transforms, and two neighbours stay in
 one interval while those bytes are equal and the shorter suffixes were in one
 interval. Intervals of a single shard are done and leave. What is left after 200
 bytes are the windows that repeat across shards, with common prefixes of 200 bytes
@@ -32,32 +32,22 @@ from oddspark.llm.windows import WIDTH, Hasher, pieces
 #: Bytes sorted together in a task, and shards they are dealt to.
 BATCH_BYTES = 2_000_000
 SHARDS = 4
-_STEP = 4
+_STEP = 8
 
 
-def _words(text, at, size: int):
-    """Big-endian numbers of ``size`` bytes at each position of a padded text."""
+def _words(text):
+    """The eight bytes from each position on as one big-endian number; zeros follow the text."""
     import numpy as np
 
-    out = np.zeros(len(at), np.uint64)
-    for i in range(size):
-        out = out << np.uint64(8) | text[at + i].astype(np.uint64)
+    padded = np.concatenate((text, np.zeros(_STEP, np.uint8)))
+    out = np.zeros(len(text), np.uint64)
+    for i in range(_STEP):
+        out = out << np.uint64(8) | padded[i : i + len(text)]
     return out
 
 
-def _ranks(values):
-    import numpy as np
-
-    order = np.argsort(values, kind="stable")
-    new = np.ones(len(values), np.int64)
-    new[1:] = values[order][1:] != values[order][:-1]
-    rank = np.empty(len(values), np.int64)
-    rank[order] = np.cumsum(new) - 1
-    return order, rank
-
-
 class Shard:
-    """Suffix order of some pieces (to 128 bytes), the transform, the step back, and the shard's own repeated windows."""
+    """Suffix order of some pieces (to 128 bytes), the bytes before each suffix, the step back to there, and the shard's own repeated windows."""
 
     def __init__(self, texts: list[bytes], first: int, width: int):
         import numpy as np
@@ -67,28 +57,53 @@ class Shard:
         text = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8)
         size = len(text)
         ends = np.cumsum(lengths)
-        self.left = np.repeat(ends, lengths) - 1 - np.arange(size)  # bytes to the end of the own piece
-        self.done = np.arange(size) - np.repeat(ends - lengths, lengths)  # bytes from its start
-        padded = np.concatenate((text, np.zeros(width + 8, np.uint8)))
         at = np.arange(size)
-        order, rank = _ranks(_words(padded, at, 8))
-        depth = 8
-        while depth < 128:
-            follow = np.where(self.left > depth, rank[np.minimum(at + depth, size - 1)] + 1, 0)
-            order, rank = _ranks(rank.astype(np.uint64) << np.uint64(32) | follow.astype(np.uint64))
-            depth *= 2
-        whole = np.flatnonzero(self.left >= width)
-        pair = rank[whole].astype(np.uint64) << np.uint64(32) | rank[whole + width - depth].astype(np.uint64)
-        back, same = np.unique(pair, return_inverse=True)
+        left = np.repeat(ends, lengths) - 1 - at  # bytes to the end of the own piece
+        done = at - np.repeat(ends - lengths, lengths)  # bytes from its start
+        words = _words(text)
+        order, rank = self._double(words, left)
+        whole = np.flatnonzero(left >= width)
+        pair = rank[whole].astype(np.uint64) << np.uint64(32) | rank[whole + width - 128].astype(np.uint64)
+        pair_order = np.argsort(pair)
+        pair = pair[pair_order]
+        alike = pair[1:] == pair[:-1]
         self.repeated = np.zeros(size, bool)
-        self.repeated[whole] = np.bincount(same, minlength=len(back))[same] > 1
+        self.repeated[whole[pair_order[1:][alike]]] = True
+        self.repeated[whole[pair_order[:-1][alike]]] = True
         inverse = np.empty(size, np.int64)
         inverse[order] = at
-        self.order = order
-        self.transform = _words(np.concatenate((np.zeros(_STEP, np.uint8), text)), order, _STEP).astype(np.uint32)
-        self.can_step = self.done[order] >= _STEP
-        self.step = np.where(self.can_step, inverse[np.maximum(order - _STEP, 0)], -1) + first
-        self.first, self.size = first, size
+        self.order, self.first, self.size = order, first, size
+        self.can_step = done[order] >= _STEP
+        before = np.maximum(order - _STEP, 0)
+        self.transform = words[before]
+        self.step = inverse[before] + first
+
+    @staticmethod
+    def _double(words, left):
+        """Suffix order by prefix doubling from 8 to 128 bytes; only suffixes that share their prefix are sorted on."""
+        import numpy as np
+
+        size = len(words)
+        order = np.argsort(words)
+        rank = np.empty(size, np.int64)
+        keys, slots, depth = words[order], np.arange(size), _STEP
+        while True:
+            # slots are the places of ``order`` that were just sorted, keys their sorted keys
+            new = np.ones(len(slots), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            first = slots[np.flatnonzero(new)]
+            group = np.cumsum(new) - 1
+            rank[order[slots]] = first[group]
+            if depth == 128:
+                return order, rank
+            shared = np.bincount(group)[group] > 1 if len(group) else new
+            slots = slots[shared]
+            here = order[slots]
+            follow = np.where(left[here] > depth, rank[np.minimum(here + depth, size - 1)] + 1, 0)
+            keys = rank[here].astype(np.uint64) << np.uint64(32) | follow.astype(np.uint64)
+            sort = np.argsort(keys)
+            order[slots], keys = here[sort], keys[sort]
+            depth *= 2
 
 
 def merge_repeats(texts: list[bytes], width: int = WIDTH, shards: int = SHARDS) -> list:
@@ -102,29 +117,33 @@ def merge_repeats(texts: list[bytes], width: int = WIDTH, shards: int = SHARDS)
     for own in dealt:
         made.append(Shard([texts[i] for i in own], first, width))
         first += made[-1].size
-    transform = np.concatenate([s.transform for s in made])
-    can_step = np.concatenate([s.can_step for s in made])
-    step = np.concatenate([s.step for s in made])
-    shard_of = np.repeat(np.arange(len(made)), [s.size for s in made])
-    low, high = transform.astype(np.uint16), (transform >> 16).astype(np.uint16)
-    entry, interval = np.arange(first), np.zeros(first, np.int64)
+    step = np.where(np.concatenate([s.can_step for s in made]), np.concatenate([s.step for s in made]), -1).astype(np.int32)
+    shard_of = np.repeat(np.arange(len(made), dtype=np.uint8), [s.size for s in made])
+    # equal eight bytes get equal numbers, whose halves are sorted one after the other
+    symbols = np.concatenate([s.transform for s in made])
+    by_symbol = np.argsort(symbols)
+    fresh = np.ones(first, np.int32)
+    fresh[1:] = symbols[by_symbol][1:] != symbols[by_symbol][:-1]
+    number = np.empty(first, np.uint32)
+    number[by_symbol] = np.cumsum(fresh) - 1
+    low, high = number.astype(np.uint16), (number >> 16).astype(np.uint16)
+    entry, interval = np.arange(first, dtype=np.int32), np.zeros(first, np.int32)
     for _ in range(width // _STEP if len(made) > 1 else 0):
-        keep = can_step[entry]
-        entry, interval = entry[keep], interval[keep]
-        order = np.argsort(low[entry], kind="stable")
-        order = order[np.argsort(high[entry[order]], kind="stable")]
-        entry, interval = entry[order], interval[order]
+        follow = step[entry]
+        keep = np.flatnonzero(follow >= 0)
+        entry, interval, follow = entry[keep], interval[keep], follow[keep]
         if not len(entry):
             break
-        symbol = transform[entry]
-        new = np.ones(len(entry), bool)
+        order = np.argsort(low[entry], kind="stable")
+        order = order[np.argsort(high[entry[order]], kind="stable")]
+        symbol, interval, shard = number[entry[order]], interval[order], shard_of[entry[order]]
+        new = np.ones(len(order), bool)
         new[1:] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
-        starts = np.flatnonzero(new)
-        shard = shard_of[entry]
-        mixed = np.minimum.reduceat(shard, starts) != np.maximum.reduceat(shard, starts)
-        interval = np.cumsum(new) - 1
-        keep = mixed[interval]
-        entry, interval = step[entry[keep]], interval[keep]
+        group = np.cumsum(new, dtype=np.int32) - 1
+        mixed = np.zeros(group[-1] + 1, bool)
+        mixed[group[1:][~new[1:] & (shard[1:] != shard[:-1])]] = True
+        keep = mixed[group]
+        entry, interval = follow[order[keep]], group[keep]
     across = np.zeros(first, bool)
     if len(made) > 1:
         across[entry] = True
@@ -139,24 +158,40 @@ def merge_repeats(texts: list[bytes], width: int = WIDTH, shards: int = SHARDS)
     return out
 
 
-_PIECE = "doc_id long, tag long, key long, hash long, start long, count long"
+_PIECE = "doc_id long, tag long, key long, hash long, start long, count long, more array<long>"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of each text; equal pieces of one text are one row with their other places in ``more``."""
     import numpy as np
 
     hasher = Hasher()
     for batch in batches:
-        found = [pieces(hasher, np.frombuffer(text.as_py().encode("utf-8"), np.uint8)) for text in batch.column(2)]
-        per = pa.array(np.repeat(np.arange(batch.num_rows), [len(f[0]) for f in found]))
-        key, hashed, start, count = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(4))
+        out: list[list] = [[], [], [], []]
+        counts, more = [], []
+        for text in batch.column(2):
+            found = pieces(hasher, np.frombuffer(text.as_py().encode("utf-8"), np.uint8))
+            _, kept, back = np.unique(found[1], return_index=True, return_inverse=True)
+            places: list = [None] * len(kept)
+            if len(kept) < len(back):
+                again = np.ones(len(back), bool)
+                again[kept] = False
+                for piece in np.flatnonzero(again).tolist():
+                    at = int(back[piece])
+                    places[at] = [*(places[at] or []), int(found[2][piece])]
+            for column, values in zip(out, found):
+                column.append(values[kept])
+            counts.append(len(kept))
+            more.extend(places)
+        per = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+        columns = [np.concatenate(c or [np.zeros(0, np.int64)]) for c in out]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(per), batch.column(1).take(per), *(pa.array(x.view(np.int64)) for x in (key, hashed, start, count))],
-            ["doc_id", "tag", "key", "hash", "start", "count"],
+            [batch.column(0).take(per), batch.column(1).take(per), *(pa.array(x.view(np.int64)) for x in columns), pa.array(more, pa.list_(pa.int64()))],
+            ["doc_id", "tag", "key", "hash", "start", "count", "more"],
         )
 
 
-_SIFTED = ["doc_id", "tag", "key", "start", "count", "whole"]
+_SIFTED = ["doc_id", "tag", "key", "start", "count", "more", "whole"]
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +233,8 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = block.filter(pa.array(~same[:-1] & ready))
         fresh = fresh.append_column("beside", pa.array(np.zeros(fresh.num_rows, bool)))
         before = (key[-2], hashed[-2]) if len(key) > 1 else last
-        return select(block, (same[:-1] | same[1:]) & ready, True), fresh, before
+        twice = block.column("more").is_valid().to_numpy()
+        return select(block, (same[:-1] | same[1:] | twice) & ready, True), fresh, before
 
     held = waiting = last = None
     for batch in batches:
@@ -258,7 +294,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         .mapInArrow(_cut, _PIECE)
         .repartition("key")
         .sortWithinPartitions("key", "hash")
-        .mapInArrow(_sift, "doc_id long, tag long, key long, start long, count long, whole boolean"),
+        .mapInArrow(_sift, "doc_id long, tag long, key long, start long, count long, more array<long>, whole boolean"),
         "sifted",
     )
     wanted = (
@@ -287,7 +323,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         .sortWithinPartitions("key")
         .mapInArrow(_merge, "doc_id long, tag long, start long, count long")
     )
-    runs = sifted.where("whole").select("doc_id", "tag", "start", "count").unionByName(merged)
+    every = F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<bigint>")))
+    runs = sifted.where("whole").select("doc_id", "tag", F.explode(every).alias("start"), "count").unionByName(merged)
     return runs.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "count")).alias("runs"))
 
 
