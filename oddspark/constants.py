@@ -11,7 +11,6 @@ INDICATION_SHARE = 0.5
 COLLAPSE_SHRINKAGE = 0.9
 NOTE_SHRINKAGE = 0.5
 IC025_RISE = 0.5
-LABELS_PER_DRUG = 3
 MIN_TERM_LENGTH = 5
 QUOTE_LIMIT = 400
 MAX_MEDICINES = 12

@@ -15,23 +15,20 @@ from oddspark.sources.given import Given
 
 # --- snapshots ---------------------------------------------------------------------
 
-_PREV_LABEL, _CURR_LABEL = 1, 3
-
-
-def _snapshot(g: Given, until, pages: int, when: str):
-    scored = scoring.score(g.documents(until=until), ordered=False)
-    return N.snapshot_rows(L.attach_expectedness(scored, L.harm_text(g.label_documents(), pages)), when)
+def _snapshot(g: Given, until, pages, when: str):
+    scored = scoring.score(g.documents(until=until), ordered=False).where("tier <> 'none' AND IC025 IS NOT NULL")
+    return N.snapshot_rows(L.attach_expectedness(scored, L.harm_text(pages)), when)
 
 
 def current(g: Given):
-    return _snapshot(g, None, _CURR_LABEL, G.CURRENT_DATE)
+    return _snapshot(g, None, g.label_documents(), G.CURRENT_DATE)
 
 
 def previous(g: Given):
-    return _snapshot(g, g.first_half(), _PREV_LABEL, G.PREVIOUS_DATE)
+    return _snapshot(g, g.first_half(), g.label_documents().where(g.first_pages()), G.PREVIOUS_DATE)
 
 
-def _snap_sql(p: str, where: str, pages: int, when: str) -> str:
+def _snap_sql(p: str, where: str, pages: str, when: str) -> str:
     return ",\n".join(
         [
             q.b_rd("lang", f"{p}_rd"), q.b_rr(where, f"{p}_rr"), q.cells(p, f"{p}_rd", f"{p}_rr"), q.stats(f"{p}_t", f"{p}_s"),
@@ -41,8 +38,8 @@ def _snap_sql(p: str, where: str, pages: int, when: str) -> str:
     )
 
 
-_CURR = _snap_sql("n", "true", _CURR_LABEL, G.CURRENT_DATE)
-_PREV = _snap_sql("p", q.FIRST_HALF, _PREV_LABEL, G.PREVIOUS_DATE)
+_CURR = _snap_sql("n", "true", "true", G.CURRENT_DATE)
+_PREV = _snap_sql("p", q.FIRST_HALF, q.FIRST_PAGES, G.PREVIOUS_DATE)
 _RANK = "CASE {0} WHEN 'weak' THEN 1 WHEN 'moderate' THEN 2 WHEN 'strong' THEN 3 ELSE 0 END"
 _CHANGES = f"""j AS (SELECT n.*, p.ic025 AS pic, p.tier AS ptier, p.labelled AS plab FROM n_snap n LEFT JOIN p_snap p USING (drug, reaction_pt)),
 ch AS (

@@ -20,18 +20,17 @@ from oddspark.sources.given import Given
 _LABELS = q.with_(q.C_DOCS, q.c_labels())
 
 
-@query("label_harm_text", _LABELS + "SELECT drug, text, boxed, found FROM c_lab")
+@query("label_harm_text", _LABELS + "SELECT drug, page_id AS doc_id, text, boxed, found FROM c_lab")
 def label_harm_text(g: Given):
     return L.harm_text(g.label_documents())
 
 
 _FLAT = r"""c_flat AS (
-  SELECT drug, trim(regexp_replace(regexp_replace(string_agg(part, ' ' ORDER BY page_id, pos) FILTER (part <> ''), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text,
-         count(*) FILTER (part <> '') > 0 AS found
-  FROM (SELECT drug, page_id, 1 AS pos, article AS part FROM c_ranked WHERE rn <= 3 UNION ALL SELECT drug, page_id, 2, title FROM c_ranked WHERE rn <= 3) GROUP BY drug)"""
+  SELECT drug, page_id, trim(regexp_replace(regexp_replace(concat_ws(' ', nullif(article, ''), nullif(title, '')), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text,
+         title <> '' OR article <> '' AS found FROM c_docs)"""
 
 
-@query("label_interaction_text", q.with_(q.C_DOCS, _FLAT) + "SELECT drug, text, found FROM c_flat")
+@query("label_interaction_text", q.with_(q.C_DOCS, _FLAT) + "SELECT drug, page_id AS doc_id, text, found FROM c_flat")
 def label_interaction_text(g: Given):
     return L.interaction_text(g.label_documents())
 
@@ -69,13 +68,13 @@ def dictionary(g: Given):
 
 _MENTIONS = (
     q.with_(q.b_rd(), q.b_rr(), _DICT, q.C_DOCS, _FLAT)
-    + r""", sent AS (SELECT drug, unnest(string_split(text, '. ')) AS sentence, generate_subscripts(string_split(text, '. '), 1) AS sno, len(string_split(text, '. ')) AS ns FROM c_flat),
-tok AS (SELECT drug, sno, unnest(regexp_extract_all(sentence, '[\p{L}\p{N}_]+')) AS word, generate_subscripts(regexp_extract_all(sentence, '[\p{L}\p{N}_]+'), 1) AS pos FROM sent),
+    + r""", sent AS (SELECT drug, page_id, unnest(string_split(text, '. ')) AS sentence, generate_subscripts(string_split(text, '. '), 1) AS sno, len(string_split(text, '. ')) AS ns FROM c_flat),
+tok AS (SELECT drug, page_id, sno, unnest(regexp_extract_all(sentence, '[\p{L}\p{N}_]+')) AS word, generate_subscripts(regexp_extract_all(sentence, '[\p{L}\p{N}_]+'), 1) AS pos FROM sent),
 terms AS (SELECT DISTINCT term FROM dict),
-hit AS (SELECT drug, sno, pos, word, term, row_number() OVER (PARTITION BY drug, sno, pos ORDER BY length(term) DESC) AS rn FROM tok JOIN terms ON lower(word) = term OR lower(word) = term || 's'),
-own AS (SELECT h.drug AS source, owner AS target, substr(word, 1, length(h.term)) AS term, sno,
-  row_number() OVER (PARTITION BY h.drug, owner ORDER BY length(h.term) DESC, sno, pos) AS k FROM hit h JOIN dict ON dict.term = h.term WHERE rn = 1 AND owner <> h.drug),
-raw AS (SELECT source, target, term, trim(sentence || CASE WHEN own.sno < ns THEN '.' ELSE '' END) AS quote FROM own JOIN sent ON sent.drug = source AND sent.sno = own.sno WHERE k = 1),
+hit AS (SELECT drug, page_id, sno, pos, word, term, row_number() OVER (PARTITION BY drug, page_id, sno, pos ORDER BY length(term) DESC) AS rn FROM tok JOIN terms ON lower(word) = term OR lower(word) = term || 's'),
+own AS (SELECT h.drug AS source, owner AS target, substr(word, 1, length(h.term)) AS term, page_id, sno,
+  row_number() OVER (PARTITION BY h.drug, owner ORDER BY length(h.term) DESC, page_id, sno, pos) AS k FROM hit h JOIN dict ON dict.term = h.term WHERE rn = 1 AND owner <> h.drug),
+raw AS (SELECT source, target, term, trim(sentence || CASE WHEN own.sno < ns THEN '.' ELSE '' END) AS quote FROM own JOIN sent ON sent.drug = source AND sent.page_id = own.page_id AND sent.sno = own.sno WHERE k = 1),
 m AS (SELECT source, target, term, CASE WHEN length(quote) > 400 THEN rtrim(substr(quote, 1, 397)) || '...' ELSE quote END AS quote FROM raw)
 """
 )

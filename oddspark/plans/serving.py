@@ -202,7 +202,9 @@ _MEDS, _SYMPTOMS = ["fr", "de", "es", "en"], ["LES", "UND", "THE", "WIR", "QQQQ"
       FROM grid LEFT JOIN spread USING (reaction_pt) LEFT JOIN e USING (drug, reaction_pt)""",
 )
 def worksheet_grid(g: Given):
-    labelled = L.attach_expectedness(_documents(g), L.harm_text(g.label_documents()))
+    scored = _documents(g)
+    listed = scored.where(F.col("reaction_pt").isin(*_SYMPTOMS) & F.col("drug").isin(*_MEDS)).select("drug", "reaction_pt")
+    labelled = scored.join(L.attach_expectedness(listed, L.harm_text(g.label_documents())), ["drug", "reaction_pt"], "left")
     out = V.worksheet_grid(g.spark, labelled, _MEDS, _SYMPTOMS)
     return out.select(
         "symptom_no", "medicine_no", "reaction_pt", "drug", F.col("a").cast("double").alias("a"), round4(F.col("IC025")).alias("IC025"), "tier",

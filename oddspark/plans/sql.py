@@ -130,43 +130,42 @@ A_TREND = """a_trend AS (
   SELECT drug, reaction_pt, CAST(date_trunc('month', receipt_date) AS DATE) AS month, count(*) AS n
   FROM a_pairs JOIN a_head USING (report_id) GROUP BY ALL)"""
 
-# Labels: per language the three lowest pages.
+# Labels: every page is a document of its language.
 C_DOCS = r"""c_docs AS (
   SELECT regexp_extract(url, '/(en|fr|de|es)/', 1) AS drug, page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title,
          regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]+>', ' ', 'g') AS article
-  FROM pages WHERE regexp_extract(url, '/(en|fr|de|es)/', 1) <> ''),
-c_ranked AS (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY page_id) AS rn FROM c_docs)"""
+  FROM pages WHERE regexp_extract(url, '/(en|fr|de|es)/', 1) <> '')"""
+FIRST_PAGES = "page_id * 2 <= (SELECT max(page_id) FROM pages)"
 
 
 def norm(x: str) -> str:
     return f"regexp_replace(lower({x}), '[^a-z0-9 ]+', ' ', 'g')"
 
 
-def c_labels(per_drug: int = 3, name: str = "c_lab") -> str:
+def c_labels(where: str = "true", name: str = "c_lab") -> str:
     return f"""{name} AS (
-  SELECT drug, {norm("string_agg(part, ' ' ORDER BY page_id, pos) FILTER (part <> '')")} AS text,
-         {norm("coalesce(string_agg(part, ' ' ORDER BY page_id) FILTER (part <> '' AND pos = 1), '')")} AS boxed,
-         count(*) FILTER (part <> '') > 0 AS found
-  FROM (SELECT drug, page_id, 1 AS pos, title AS part FROM c_ranked WHERE rn <= {per_drug}
-        UNION ALL SELECT drug, page_id, 2, article FROM c_ranked WHERE rn <= {per_drug})
-  GROUP BY drug)"""
+  SELECT drug, page_id, {norm("concat_ws(' ', nullif(title, ''), nullif(article, ''))")} AS text, {norm("title")} AS boxed,
+         title <> '' OR article <> '' AS found FROM c_docs WHERE {where})"""
 
 
 def expected(src: str, label: str, out: str) -> str:
-    """``src`` with label_found, labelled, boxed_warning."""
+    """``src`` with label_found, labelled, boxed_warning over all documents of the drug."""
     stop = quoted(K.LABEL_STOPWORDS)
     return f"""{out}_p AS (
-  SELECT s.*, coalesce(l.found, false) AS label_found, l.text AS ltext, l.boxed AS lboxed, {norm('s.reaction_pt')} AS pt
+  SELECT s.*, coalesce(l.found, false) AS found, l.text AS ltext, l.boxed AS lboxed, {norm('s.reaction_pt')} AS pt
   FROM {src} s LEFT JOIN {label} l USING (drug)),
 {out}_q AS (
   SELECT *, list_filter(regexp_split_to_array(pt, ' +'), lambda t: length(t) > 3 AND NOT list_contains([{stop}], t)) AS toks,
          trim(pt) <> '' AND contains(ltext, pt) AS phrase FROM {out}_p),
+{out}_r AS (
+  SELECT drug, reaction_pt, found,
+    CASE WHEN found THEN phrase OR (len(toks) > 0 AND len(list_filter(toks, lambda t: NOT contains(ltext, t))) = 0) END AS hit,
+    CASE WHEN found THEN lboxed <> '' AND CASE WHEN phrase THEN contains(lboxed, pt)
+         ELSE len(toks) > 0 AND len(list_filter(toks, lambda t: NOT contains(ltext, t))) = 0 AND len(list_filter(toks, lambda t: NOT contains(lboxed, t))) = 0 END END AS boxhit
+  FROM {out}_q),
 {out} AS (
-  SELECT * EXCLUDE (pt, toks, phrase, ltext, lboxed),
-    CASE WHEN label_found THEN phrase OR (len(toks) > 0 AND len(list_filter(toks, lambda t: NOT contains(ltext, t))) = 0) END AS labelled,
-    CASE WHEN label_found THEN lboxed <> '' AND CASE WHEN phrase THEN contains(lboxed, pt)
-         ELSE len(toks) > 0 AND len(list_filter(toks, lambda t: NOT contains(ltext, t))) = 0 AND len(list_filter(toks, lambda t: NOT contains(lboxed, t))) = 0 END END AS boxed_warning
-  FROM {out}_q)"""
+  SELECT s.*, label_found, labelled, boxed_warning FROM {src} s JOIN (
+    SELECT drug, reaction_pt, bool_or(found) AS label_found, bool_or(hit) AS labelled, bool_or(boxhit) AS boxed_warning FROM {out}_r GROUP BY ALL) USING (drug, reaction_pt))"""
 
 
 def word_set(x: str) -> str:

@@ -132,7 +132,7 @@ class Given:
 
     # --- pages as labels -------------------------------------------------------------
 
-    def label_documents(self, pages_per_drug: int | None = None) -> DataFrame:
+    def label_documents(self) -> DataFrame:
         """One row per page: ``drug, doc_id, sections`` with title boxed and article as harm text."""
         strip = lambda col: F.regexp_replace(col, "<[^>]+>", " ")
         html = F.col("html")
@@ -150,6 +150,11 @@ class Given:
             ).alias("sections"),
         ).where(F.col("drug") != "")
 
+    def first_pages(self) -> Column:
+        """Label documents that were there at the previous snapshot."""
+        top = self.table("pages").agg(F.max("page_id").alias("m")).select("m").scalar()
+        return F.col("doc_id") * 2 <= top
+
     # --- users, tracked lists, logs ----------------------------------------------------
 
     def users(self) -> DataFrame:

@@ -44,7 +44,9 @@ def test_phrases_equal_one_alternation_scan(spark):
 
 
 def test_mentions_quote_the_sentence(spark):
-    texts = spark.createDataFrame([("a", "Starts here with betadrug use. Avoid gammadrugs and class inhibitors. End"), ("betadrug", "betadrug alone")], "drug string, text string")
+    texts = spark.createDataFrame([("a", 1, "Starts here with betadrug use. Avoid gammadrugs and class inhibitors. End"), ("a", 2, "betadrug again"), ("betadrug", 1, "betadrug alone")],
+        "drug string, doc_id long, text string",
+    )
     entries = spark.createDataFrame(
         [("betadrug", ["betadrug"], None), ("gammadrug", ["gammadrug", "gam"], "Class Inhibitor [EPC]")], "drug string, variants array<string>, epc string"
     )
