@@ -25,6 +25,10 @@ HEADLINE = [
     "detect_changes",
     "drug_facts",
     "rolling_rate",
+    "drug_lookup",
+    "drug_profile",
+    "list_panels",
+    "worksheet_grid",
 ]
 
 
