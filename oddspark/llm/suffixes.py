@@ -22,6 +22,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -282,6 +283,15 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(rows)
 
 
+def _flat(lists: pa.Array, *names: str):
+    """Where the list of each row begins (and ends), and the fields of all lists as flat arrays; null is empty."""
+    import numpy as np
+
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    return np.concatenate(([0], np.cumsum(lengths))).tolist(), [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """``doc_id, tag, runs``: for each document (by id and hash of its text) the runs of repeated windows.
 
@@ -307,11 +317,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, tag, text, cut in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                raw = text.encode("utf-8")
-                for piece in cut:
-                    part = raw[piece["start"] : piece["start"] + piece["count"] + WIDTH - 1]
-                    for column, value in zip(out, (doc_id, tag, piece["key"], piece["start"], part)):
+            own, (keys, starts, counts) = _flat(batch.column(3), "key", "start", "count")
+            ids, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for row, text in enumerate(batch.column(2)):
+                raw = text.as_py().encode("utf-8")
+                for i in range(own[row], own[row + 1]):
+                    part = raw[starts[i] : starts[i] + counts[i] + WIDTH - 1]
+                    for column, value in zip(out, (ids[row], tags[row], keys[i], starts[i], part)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "tag", "key", "start", "part"])
 
@@ -350,14 +362,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
-                raw = text.encode("utf-8")
+            own, (starts, counts) = _flat(batch.column("runs"), "start", "count")
+            for row, text in enumerate(batch.column("text")):
+                raw = text.as_py().encode("utf-8")
                 kept, removed, spans = raw, 0, 0
-                if found:
+                first, last = own[row], own[row + 1]
+                if first < last:
                     edge = np.zeros(len(raw) + 1, np.int64)
-                    for run in found:
-                        edge[run["start"]] += 1
-                        edge[run["start"] + run["count"] + WIDTH - 1] -= 1
+                    np.add.at(edge, starts[first:last], 1)
+                    np.subtract.at(edge, starts[first:last] + counts[first:last] + (WIDTH - 1), 1)
                     gone = np.cumsum(edge[:-1]) > 0
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                     removed, spans = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())

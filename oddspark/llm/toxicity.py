@@ -79,7 +79,7 @@ class Voters:
         for width in self.widths:
             if width < len(word) and (at := self.stems.get(word[:width])) is not None:
                 out |= 1 << at
-        if len(self.known) >= 400_000:
+        if len(self.known) >= 200_000:
             self.known.clear()
         self.known[word] = out
         return out

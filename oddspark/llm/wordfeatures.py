@@ -23,7 +23,7 @@ def bucket(word: bytes) -> int:
 class Hashed(dict):
     """Bucket of each word, remembered up to a bound."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
