@@ -4,7 +4,8 @@ White space never joins two tokens in the tokenizers used here (they drop it), s
 a text is cut at ASCII white space and each distinct chunk is encoded once per
 worker by the tokenizer itself; the ids of a text are those of its chunks in
 order. A chunk of letters with punctuation after it is the ids of the letters and
-those of the punctuation. The memory is bounded: a full cache starts anew.
+those of the punctuation. The memory is bounded: a full memory becomes the old one,
+from which what is met again is taken over, and the old one before it is forgotten.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from __future__ import annotations
 import os
 import re
 
-#: Chunks, and words without their punctuation, that a worker remembers.
-CACHE_CHUNKS = 700_000
+#: Chunks, and words without their punctuation, in each of the two memories of a worker.
+CACHE_CHUNKS = 400_000
 _LETTERS_THEN_MARKS = re.compile(rb"([A-Za-z\x80-\xff]+)([.,!?;:%&$#*]*)")
 
 
@@ -39,6 +40,8 @@ class Encoder:
         self.kind = {2: "<u2", 4: "<u4"}[width]
         self.cache: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
+        self.old_cache: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(1 + self.tokenizer.get_vocab_size(), bool)
         self.ends[[at for token, at in vocabulary.items() if token.endswith("</w>")]] = True
@@ -60,8 +63,6 @@ class Encoder:
         """Ids of words made of letters only; encoded as one line, where the tokenizer marks the ends of words."""
         import numpy as np
 
-        if len(self.words) + len(words) > CACHE_CHUNKS:
-            self.words.clear()
         ids = np.frombuffer(self._plain([b" ".join(words)])[0], self.kind)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
@@ -72,24 +73,26 @@ class Encoder:
         self.words.update((w, raw[a:b]) for w, a, b in zip(words, at, at[1:]))
 
     def _learn(self, chunks: list[bytes]) -> None:
+        if len(self.words) + len(chunks) > CACHE_CHUNKS:
+            self.words, self.old_words = {}, self.words
+        own, old = self.words, self.old_words
         whole, split, new = [], [], set()
         for chunk in chunks:
             found = _LETTERS_THEN_MARKS.fullmatch(chunk)
             if found and found[1].decode("utf-8").isalpha():
                 word = found[1].lower()
                 split.append((chunk, word, found[2]))
-                if word not in self.words:
-                    new.add(word)
+                if word not in own:
+                    if word in old:
+                        own[word] = old[word]
+                    else:
+                        new.add(word)
                 if found[2] and found[2] not in self.cache:
                     self.cache[found[2]] = self._plain([found[2]])[0]
             else:
                 whole.append(chunk)
-        own = self.words
         if new:
             self._learn_words(list(new))
-            if any(w not in self.words for _, w, _ in split):  # a full cache started anew
-                self._learn_words(list({w for _, w, _ in split}))
-            own = self.words
         for chunk, word, marks in split:
             self.cache[chunk] = own[word] + self.cache[marks] if marks else own[word]
         if whole:
@@ -101,7 +104,10 @@ class Encoder:
         missing = [c for c in set(chunks) if c not in cache]
         if missing:
             if len(cache) + len(missing) > CACHE_CHUNKS:
-                cache.clear()
-                missing = list(set(chunks))
-            self._learn(missing)
+                self.old_cache, self.cache = cache, {}
+                cache, missing = self.cache, list(set(chunks))
+            old = self.old_cache
+            known = {c: old[c] for c in missing if c in old}
+            cache.update(known)
+            self._learn([c for c in missing if c not in known])
         return b"".join([cache[c] for c in chunks])
