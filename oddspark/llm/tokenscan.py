@@ -24,7 +24,7 @@ END_ID = 65535
 WIDTH = 2
 #: Tokens of a block; bytes after which a writer begins a new file.
 BLOCK_TOKENS = 1 << 18
-FILE_BYTES = 32_000_000
+FILE_BYTES = 8_000_000
 
 
 def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
