@@ -41,7 +41,7 @@ PATTERNS = {
     "shouting": rb"(?:\b[A-Z]{4,}\b[ ,!]+){4}",
     "exclaiming": rb"!{3,}",
 }
-#: Labelled rows used to find typical words, and documents used to fit the classifier: bounds, drawn by hash.
+#: Documents used to fit the classifier: a bound, drawn by hash.
 SAMPLE_ROWS = 20_000
 #: Typical words and stems that become voters; with lists and patterns a vote pattern fits in 63 bits.
 TYPICAL = 48
@@ -52,7 +52,8 @@ STEM_SHARE = 1 / 200
 #: Levels of the joint share of stems that the classifier sees.
 LEVELS = 8
 ROUNDS = 6
-#: A document of unknown label counts as so many of known label, lest the unknown ones pull the classes apart.
+#: A document of unknown label counts as so many of known label at most, and all unknown ones together as this share
+#: of all known ones, lest the unknown ones pull the classes apart where few documents are labelled.
 UNKNOWN_WEIGHT = 0.1
 
 
@@ -220,6 +221,9 @@ def fit_label_model(patterns: DataFrame, voters: int, lexicons: int, rounds: int
     """
     import numpy as np
 
+    weights = patterns.agg(F.sum(F.when(F.col("y").isNull(), F.col("n"))), F.sum(F.when(F.col("y").isNotNull(), F.col("n")))).first()
+    unknown, known = (w or 0 for w in weights)
+    weight = UNKNOWN_WEIGHT * (min(1.0, known / unknown) if known and unknown else 1.0)
     model: LabelModel | None = None
     for _ in range(rounds):
 
@@ -228,7 +232,7 @@ def fit_label_model(patterns: DataFrame, voters: int, lexicons: int, rounds: int
             for batch in batches:
                 votes = _bits(batch.column(0).to_numpy(), voters)
                 y = np.array([-1 if v is None else v for v in batch.column(1).to_pylist()], int).reshape(-1)
-                n = batch.column(2).to_numpy() * np.where(y >= 0, 1.0, UNKNOWN_WEIGHT)
+                n = batch.column(2).to_numpy() * np.where(y >= 0, 1.0, weight)
                 p = model.posterior(votes) if model else np.where(votes[:, :lexicons].any(axis=1), 0.7, 0.02)
                 p = np.where(y >= 0, y, p)
                 for label, w in ((0, n * (1 - p)), (1, n * p)):
@@ -287,16 +291,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
 
     Labels are learned only from ids whose CRC-32 modulo 5 is not 0; other documents
     take no part in any fit. Null texts count as empty: no voter fires and the score
-    is that of the intercept. Documents with a null id are never learned from and
+    is that of the intercept. All labels teach the label model; ``sample_rows``
+    bounds the classifier's sample alone. Documents with a null id are never learned from and
     are not held out. Without any label the lists alone start the label model.
     """
     import numpy as np
 
     fold = F.coalesce(crc_of_id() % 5 == 0, F.lit(False))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("held_out", fold)
-    known = learnable(labels, "toxic", fold, sample_rows)
-    # at most sample_rows rows of two numbers
-    taught = texts.where(~F.col("held_out")).join(F.broadcast(known), "doc_id")
+    known = learnable(labels, "toxic", fold)
+    taught = texts.where(~F.col("held_out")).join(known, "doc_id")
     voters = Voters(*typical(taught))
     n = len(voters.names)
 
@@ -312,7 +316,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     votes = publish(texts.select("doc_id", "held_out", "text").mapInArrow(look, "doc_id long, held_out boolean, mask long"), "votes")
     open_votes = votes.where(~F.col("held_out"))
     patterns = publish(
-        open_votes.join(F.broadcast(known), "doc_id", "left").groupBy("mask", "y").agg(F.count(F.lit(1)).alias("n")), "patterns"
+        open_votes.join(known, "doc_id", "left").groupBy("mask", "y").agg(F.count(F.lit(1)).alias("n")), "patterns"
     ).select("mask", "y", "n")
     model = fit_label_model(patterns, n, len(LEXICONS))
 
