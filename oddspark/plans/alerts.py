@@ -127,6 +127,7 @@ def unread_notifications(g: Given):
 
 # --- tracked lists and search log ----------------------------------------------------
 
+#: Of the check SQL alone, which still cuts each list at three; the query has the operator's default of 40.
 _CAP = 3
 
 
@@ -146,7 +147,7 @@ def _list_events(g: Given):
     SELECT user_id, drug, added_at FROM k WHERE o <= {_CAP}""",
 )
 def tracked_state(g: Given):
-    return N.tracked_state(_list_events(g), _CAP)
+    return N.tracked_state(_list_events(g))
 
 
 _LOG = "log AS (SELECT event_id, user_id, ts AS created_at, event_type AS drug_query, CASE WHEN event_type <> 'error' THEN event_type END AS matched_drug FROM events)"
