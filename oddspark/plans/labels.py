@@ -35,10 +35,7 @@ def label_interaction_text(g: Given):
     return L.interaction_text(g.label_documents())
 
 
-def tiered(g: Given, rounded: bool = False):
-    return scoring.score(g.documents(), ordered=False, rounded=rounded).where("tier <> 'none'")
-
-
+#: Of the check SQL alone, which looks up tiered pairs; the query looks up every scored pair.
 _TIERED = "tiered AS (SELECT * FROM b_s WHERE tier <> 'none')"
 
 
@@ -48,7 +45,8 @@ _TIERED = "tiered AS (SELECT * FROM b_s WHERE tier <> 'none')"
     + f"SELECT drug, reaction_pt, a, {q.r4('IC025', 'IC025')}, tier, label_found, labelled, boxed_warning FROM e",
 )
 def expectedness(g: Given):
-    out = L.attach_expectedness(tiered(g), L.harm_text(g.label_documents()))
+    scored = scoring.score(g.documents(), ordered=False, rounded=False)
+    out = L.attach_expectedness(scored, L.harm_text(g.label_documents()))
     return round_measures(out.select("drug", "reaction_pt", "a", "IC025", "tier", "label_found", "labelled", "boxed_warning"))
 
 
