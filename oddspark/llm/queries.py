@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddspark.llm import chat, covertree, fingerprints, mixing, packing, quality, simhash, suffixes, tokenscan, toxicity
+from oddspark.llm import automaton, chat, covertree, filteraudit, fingerprints, mixing, packing, quality, simhash, simplex, suffixes, tokenscan, toxicity
 from oddspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_chat", chat.CHECK_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_nsimplex", simplex.check_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simplex.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_filteraudit", filteraudit.CHECK_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_decontamination", automaton.check_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
