@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddspark.functions import text as X
+from oddspark.operators.grams import substring_matches
 
 
 def alias_dim(catalogue: DataFrame) -> DataFrame:
@@ -18,24 +19,13 @@ def alias_dim(catalogue: DataFrame) -> DataFrame:
     return classes.unionByName(own).unionByName(variants).where("alias != ''").distinct()
 
 
-def substring_index(names: DataFrame) -> DataFrame:
-    """``(part, name)`` for every substring of every key.
-
-    Turns a literal substring search into an equi-join; its size follows the
-    catalogue (names are short), never the data searched for.
-    """
-    size = F.length("key")
-    at = names.withColumn("_i", F.explode(F.sequence(F.lit(1), size)))
-    spans = at.withColumn("_n", F.explode(F.sequence(F.lit(1), size - F.col("_i") + 1)))
-    return spans.select(F.substring(F.col("key"), F.col("_i"), F.col("_n")).alias("part"), "name").distinct()
-
-
 def match_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     """``queries(query, key)`` against ``names(name, key)``: exact if there is one, else every substring hit."""
     exact = queries.join(names, "key").select("query", "key", "name", F.lit(True).alias("exact"))
     rest = queries.join(exact.select("query"), "query", "left_anti").where("key != ''")
-    partial = rest.withColumnRenamed("key", "part").join(substring_index(names), "part")
-    return exact.unionByName(partial.select("query", F.col("part").alias("key"), "name", F.lit(False).alias("exact")))
+    held = substring_matches(rest.select(F.col("key").alias("needle")).distinct(), names.select(F.col("key").alias("word")).distinct())
+    partial = rest.join(held, F.col("key") == F.col("needle")).join(names.select("name", F.col("key").alias("word")), "word")
+    return exact.unionByName(partial.select("query", "key", "name", F.lit(False).alias("exact")))
 
 
 def drug_keys(queries: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ from oddspark.functions.special import DIGAMMA_BODY, lgamma, over_all, round4
 from oddspark.functions.stats import with_expected
 
 MAX_STEPS = 300
+#: Largest absolute logarithm of a shape or rate and logit of the weight.
+FREE_LIMIT = 12.0
 #: The fit has converged when a step promises less than this much likelihood per pair.
 TOLERANCE = 1e-7
 
@@ -56,7 +58,15 @@ def groups(pairs: DataFrame) -> DataFrame:
 
 
 def _from_free(theta: np.ndarray) -> Params:
-    return Params(*np.exp(theta[:4]).tolist(), float(0.5 * (1 + math.tanh(theta[4] / 2))))
+    """Parameters of free ones, which are held within ``FREE_LIMIT``: beyond it a component is a point or a mixture has one component."""
+    held = np.clip(theta, -FREE_LIMIT, FREE_LIMIT)
+    return Params(*np.exp(held[:4]).tolist(), float(0.5 * (1 + math.tanh(held[4] / 2))))
+
+
+def _log_shares(pi: float) -> tuple[float, float]:
+    """Logarithms of both mixture weights; a weight that has rounded to 0 counts as the least one that has not."""
+    least = math.exp(-FREE_LIMIT) / 2
+    return math.log(max(pi, least)), math.log(max(1 - pi, least))
 
 
 def _to_free(params: tuple) -> np.ndarray:
@@ -70,10 +80,11 @@ def scores(n: np.ndarray, e: np.ndarray, params: Params) -> tuple[np.ndarray, np
     component's parameter is that of the component times the posterior share of it.
     """
     parts, slopes = [], []
-    for alpha, beta, share in ((params.alpha1, params.beta1, params.pi), (params.alpha2, params.beta2, 1 - params.pi)):
+    logs = _log_shares(params.pi)
+    for alpha, beta, log_share in ((params.alpha1, params.beta1, logs[0]), (params.alpha2, params.beta2, logs[1])):
         near = np.log(beta) - np.log(beta + e)
         parts.append(
-            math.log(share) + G.lgamma(n + alpha) - G.lgamma(np.array(alpha)) - G.lgamma(n + 1.0) + alpha * near + n * (np.log(e) - np.log(beta + e))
+            log_share + G.lgamma(n + alpha) - G.lgamma(np.array(alpha)) - G.lgamma(n + 1.0) + alpha * near + n * (np.log(e) - np.log(beta + e))
         )
         slopes.append(alpha * (G.digamma(n + alpha) - G.digamma(np.array(alpha)) + near))
         slopes.append(alpha - (n + alpha) * beta / (beta + e))
@@ -116,11 +127,14 @@ def maximise(pairs: DataFrame, start: tuple = K.MGPS_START) -> Fit:
         begun, step, size = value, 0, 1.0
         while step < MAX_STEPS:
             step += 1
-            move = inverse @ slope
+            # what would leave its limits stays there
+            inside = ~((theta >= FREE_LIMIT) & (slope > 0) | (theta <= -FREE_LIMIT) & (slope < 0))
+            move = np.where(inside, (inverse * np.outer(inside, inside)) @ slope, 0.0)
             gain = slope @ move
             if gain <= TOLERANCE * max(count, 1.0):
                 return Fit(_from_free(theta), count, float(begun), float(value), step, True)
             move *= size * min(1.0, 2.0 / np.abs(move).max())
+            move = np.clip(theta + move, -FREE_LIMIT, FREE_LIMIT) - theta
             after, steeper, _ = _sums(table, _from_free(theta + move))
             if not (np.isfinite(after) and after >= value + 1e-4 * (slope @ move)):
                 size /= 4
@@ -157,10 +171,8 @@ def with_posterior(pairs: DataFrame, params: Params) -> DataFrame:
     n = F.col("a").cast("double")
     df = with_expected(pairs).withColumn("_e", F.when((F.col("a") > 0) & (F.col("expected") > 0), F.col("expected")))
     e = F.col("_e")
-    log_odds = (
-        math.log1p(-params.pi) + _component(n, e, params.alpha2, params.beta2)
-        - math.log(params.pi) - _component(n, e, params.alpha1, params.beta1)
-    )
+    first, second = _log_shares(params.pi)
+    log_odds = second + _component(n, e, params.alpha2, params.beta2) - first - _component(n, e, params.alpha1, params.beta1)
     return df.withColumns(
         {
             "_q": 1.0 / (1.0 + F.exp(log_odds)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from oddspark import constants as K
 from oddspark.operators import labels as L
 from oddspark.operators import scoring
 from oddspark.operators import snapshots as N
@@ -127,9 +128,6 @@ def unread_notifications(g: Given):
 
 # --- tracked lists and search log ----------------------------------------------------
 
-#: Of the check SQL alone, which still cuts each list at three; the query has the operator's default of 40.
-_CAP = 3
-
 
 def _list_events(g: Given):
     """Events as additions to and removals from tracked lists."""
@@ -144,7 +142,7 @@ def _list_events(g: Given):
     f"""WITH e AS (SELECT user_id, event_type AS drug, CASE WHEN value < 20 THEN 'remove' ELSE 'add' END AS action, ts, event_id FROM events),
     l AS (SELECT *, row_number() OVER (PARTITION BY user_id, drug ORDER BY ts DESC, event_id DESC) AS rn FROM e),
     k AS (SELECT user_id, drug, ts AS added_at, row_number() OVER (PARTITION BY user_id ORDER BY ts, drug) AS o FROM l WHERE rn = 1 AND action = 'add')
-    SELECT user_id, drug, added_at FROM k WHERE o <= {_CAP}""",
+    SELECT user_id, drug, added_at FROM k WHERE o <= {K.MAX_TRACKED}""",
 )
 def tracked_state(g: Given):
     return N.tracked_state(_list_events(g))

@@ -35,13 +35,9 @@ def label_interaction_text(g: Given):
     return L.interaction_text(g.label_documents())
 
 
-#: Of the check SQL alone, which looks up tiered pairs; the query looks up every scored pair.
-_TIERED = "tiered AS (SELECT * FROM b_s WHERE tier <> 'none')"
-
-
 @query(
     "expectedness",
-    q.with_(q.B_SCORED, _TIERED, q.C_DOCS, q.c_labels(), q.expected("tiered", "c_lab", "e"))
+    q.with_(q.B_SCORED, q.C_DOCS, q.c_labels(), q.expected("b_s", "c_lab", "e"))
     + f"SELECT drug, reaction_pt, a, {q.r4('IC025', 'IC025')}, tier, label_found, labelled, boxed_warning FROM e",
 )
 def expectedness(g: Given):

@@ -149,23 +149,30 @@ def c_labels(where: str = "true", name: str = "c_lab") -> str:
 
 
 def expected(src: str, label: str, out: str) -> str:
-    """``src`` with label_found, labelled, boxed_warning over all documents of the drug."""
+    """``src`` with label_found, labelled, boxed_warning over all documents of the drug.
+
+    What no text of the drug holds, all texts taken together, is settled by that. Terms
+    that are one word are settled by it too, unless a boxed section may hold them.
+    """
     stop = quoted(K.LABEL_STOPWORDS)
-    return f"""{out}_p AS (
-  SELECT s.*, coalesce(l.found, false) AS found, l.text AS ltext, l.boxed AS lboxed, {norm('s.reaction_pt')} AS pt
-  FROM {src} s LEFT JOIN {label} l USING (drug)),
-{out}_q AS (
-  SELECT *, list_filter(regexp_split_to_array(pt, ' +'), lambda t: length(t) > 3 AND NOT list_contains([{stop}], t)) AS toks,
-         trim(pt) <> '' AND contains(ltext, pt) AS phrase FROM {out}_p),
-{out}_r AS (
-  SELECT drug, reaction_pt, found,
-    CASE WHEN found THEN phrase OR (len(toks) > 0 AND len(list_filter(toks, lambda t: NOT contains(ltext, t))) = 0) END AS hit,
-    CASE WHEN found THEN lboxed <> '' AND CASE WHEN phrase THEN contains(lboxed, pt)
-         ELSE len(toks) > 0 AND len(list_filter(toks, lambda t: NOT contains(ltext, t))) = 0 AND len(list_filter(toks, lambda t: NOT contains(lboxed, t))) = 0 END END AS boxhit
-  FROM {out}_q),
+    within = lambda text: f"len(list_filter(toks, lambda t: NOT contains({text}, t))) = 0"
+    return f"""{out}_l AS MATERIALIZED (SELECT drug, string_agg(text, '|') AS alltext, string_agg(boxed, '|') AS allboxed FROM {label} WHERE found GROUP BY drug),
+{out}_k AS (SELECT drug, bool_or(found) AS label_found FROM {label} GROUP BY drug),
+{out}_n AS MATERIALIZED (
+  SELECT drug, pt, list_filter(regexp_split_to_array(pt, ' +'), lambda t: length(t) > 3 AND NOT list_contains([{stop}], t)) AS toks
+  FROM (SELECT DISTINCT drug, {norm('reaction_pt')} AS pt FROM {src}) WHERE trim(pt) <> ''),
+{out}_o AS MATERIALIZED (
+  SELECT drug, pt, toks, contains(pt, ' ') OR contains(allboxed, pt) OR (len(toks) > 0 AND {within('allboxed')}) AS open
+  FROM {out}_n JOIN {out}_l USING (drug) WHERE contains(alltext, pt) OR (len(toks) > 0 AND {within('alltext')})),
+{out}_p AS (SELECT o.drug, pt, toks, l.text, l.boxed, contains(l.text, pt) AS phrase FROM {out}_o o JOIN {label} l ON o.drug = l.drug AND l.found WHERE open),
+{out}_q AS (SELECT drug, pt, phrase OR (len(toks) > 0 AND {within('text')}) AS hit,
+    boxed <> '' AND CASE WHEN phrase THEN contains(boxed, pt) ELSE len(toks) > 0 AND {within('text')} AND {within('boxed')} END AS boxhit FROM {out}_p),
+{out}_r AS (SELECT drug, pt, bool_or(hit) AS hit, bool_or(boxhit) AS boxhit FROM (
+    SELECT * FROM {out}_q UNION ALL SELECT drug, pt, true, false FROM {out}_o WHERE NOT contains(pt, ' ')) GROUP BY ALL),
 {out} AS (
-  SELECT s.*, label_found, labelled, boxed_warning FROM {src} s JOIN (
-    SELECT drug, reaction_pt, bool_or(found) AS label_found, bool_or(hit) AS labelled, bool_or(boxhit) AS boxed_warning FROM {out}_r GROUP BY ALL) USING (drug, reaction_pt))"""
+  SELECT s.*, coalesce(k.label_found, false) AS label_found, CASE WHEN k.label_found THEN coalesce(r.hit, false) END AS labelled,
+    CASE WHEN k.label_found THEN coalesce(r.boxhit, false) END AS boxed_warning
+  FROM {src} s LEFT JOIN {out}_k k ON s.drug = k.drug LEFT JOIN {out}_r r ON r.drug = s.drug AND r.pt = {norm('s.reaction_pt')})"""
 
 
 def word_set(x: str) -> str:

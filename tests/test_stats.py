@@ -147,3 +147,18 @@ def test_mgps_order(spark):
         assert r["EB05"] <= r["EBGM"] <= r["EB95"]
     empty = M.with_mgps(table(spark, (0, 5, 5, 90)), params).first()
     assert empty["EBGM"] is None and empty["EB05"] is None
+
+
+@pytest.mark.parametrize("spread", ["equal", "poisson", "one gamma"])
+def test_mgps_fit_of_a_table_without_two_components(spark, spread):
+    """Where one component does, the weight or a shape runs to its limit; that is a fit too."""
+    rng = np.random.default_rng(4)
+    e = rng.uniform(1, 20, 3000).round(1)
+    n = {"equal": np.round(e), "poisson": rng.poisson(e), "one gamma": rng.poisson(e * rng.gamma(3.0, 1 / 3.0, len(e)))}[spread]
+    cells = [(int(a), 1000 - int(a), int(round(1000 * x)) - int(a), 10**6) for a, x in zip(n, e)]
+    pairs = spark.createDataFrame(cells, "a long, b long, c long, N long")
+    found = M.maximise(pairs)
+    assert found.converged and found.likelihood >= found.start_likelihood and all(np.isfinite(found.params))
+    for r in M.with_mgps(pairs.limit(200), found.params).where("a > 0").collect():
+        assert r["EB05"] <= r["EBGM"] * (1 + 1e-9) and r["EBGM"] <= r["EB95"] * (1 + 1e-9)
+    assert M.scores(np.array([3.0]), np.array([2.0]), M.Params(1.0, 1.0, 2.0, 2.0, 1.0))[0] == pytest.approx(M.scores(np.array([3.0]), np.array([2.0]), M.Params(1.0, 1.0, 5.0, 9.0, 1.0))[0], rel=1e-4)

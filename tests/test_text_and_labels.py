@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from oddspark import constants as K
@@ -8,6 +9,7 @@ from oddspark.functions import display as D
 from oddspark.functions import text as X
 from oddspark.operators import labels as L
 from oddspark.operators import lookup
+from oddspark.operators.grams import substring_matches
 from oddspark.operators.phrases import leftmost_longest, phrase_matches
 from oddspark.plans.serving import V
 
@@ -98,3 +100,34 @@ def test_same_drug_cannot_be_compared(spark):
 
     with pytest.raises(ValueError):
         V.compare_two(spark.range(1), "x", "x")
+
+
+def test_label_index_against_every_pair_and_document(spark):
+    """Words, parts of words, phrases over several words, accents that leave blanks, short terms; each against each document."""
+    r = random.Random(2)
+    syllables = ["ra", "ment", "or", "t", "de", "pain", "in", "é", "head", "ache", "s", "x"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 3)))
+    body = lambda n: " ".join(word() for _ in range(n))
+    labels = [(f"d{i % 4}", body(r.randint(0, 25)), body(r.randint(0, 3)), i % 5 != 0) for i in range(24)] + [("d9", "", "", False), ("d8", "a b", "", True)]
+    terms = sorted({body(r.randint(1, 3)).upper() for _ in range(150)} | {"É", "T", "ÉT", "PAIN IN", "IN THE", "A B", " ", "-", "DE É RA"})
+    docs = spark.createDataFrame(labels, "drug string, text string, boxed string, found boolean").withColumns({c: X.norm(F.col(c)) for c in ("text", "boxed")})
+    pairs = spark.createDataFrame([(f"d{d}", t, i) for d in (0, 1, 2, 3, 8, 9, 7) for i, t in enumerate(terms)], "drug string, reaction_pt string, a int")
+    hit, boxed = X.label_hits(F.col("reaction_pt"), F.col("text"), F.col("boxed"))
+    found = F.coalesce("found", F.lit(False))
+    want = pairs.join(docs, "drug", "left").groupBy(*pairs.columns).agg(
+        F.bool_or(found).alias("label_found"), F.bool_or(F.when(found, hit)).alias("labelled"), F.bool_or(F.when(found, boxed)).alias("boxed_warning")
+    )
+    got = L.attach_expectedness(pairs, docs)
+    assert got.columns == want.columns
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(got) == rows(want)
+    assert {r.labelled for r in got.collect()} == {True, False, None} and got.where("boxed_warning").count() > 20
+
+
+@pytest.mark.parametrize("n", [0, 300])
+def test_substring_matches_are_those_of_all_pairs(spark, n):
+    r = random.Random(n)
+    text = lambda size: "".join(r.choice("abé \n😀") for _ in range(size))
+    words, needles = {text(r.randint(0, 9)) for _ in range(n)}, {text(r.randint(0, 5)) for _ in range(n // 4)}
+    got = substring_matches(spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame([(x,) for x in words], "word string"))
+    assert {(x.needle, x.word) for x in got.collect()} == {(a, b) for a in needles if a for b in words if a in b}
