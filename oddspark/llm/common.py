@@ -43,3 +43,27 @@ def rows_of(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.R
     """Each batch with its texts as a Python list."""
     for batch in batches:
         yield batch, batch.column(text).to_pylist()
+
+
+#: Bits of a sketch: 4 MB, whatever the size of the table.
+SKETCH_BITS = 1 << 25
+
+
+def _place() -> Column:
+    return F.pmod(F.col("h"), F.lit(SKETCH_BITS).cast("long"))
+
+
+def sketch_of(hashes: DataFrame) -> DataFrame:
+    """``_bucket, _bits``: which hashes ``h`` there are, modulo the size of the sketch, which is fixed."""
+    return hashes.groupBy(F.bitmap_bucket_number(_place()).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_place())).alias("_bits"))
+
+
+def in_sketch(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Rows whose hash ``h`` is in the sketch, and a few others."""
+    near = rows.withColumn("_bucket", F.bitmap_bucket_number(_place())).join(
+        F.broadcast(sketch),  # SKETCH_BITS / 8 bytes in one row for each 4 KB at most, however large the table
+        "_bucket",
+    )
+    at = F.bitmap_bit_position(_place())
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return near.where((byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int"))) != 0).select(*rows.columns)

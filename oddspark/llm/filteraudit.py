@@ -13,12 +13,10 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddspark.llm.common import WORD, publish, text_of
+from oddspark.llm.common import WORD, in_sketch, publish, sketch_of, text_of
 
 LETTERS = "ABCDE"
 BIT = {letter: 1 << i for i, letter in enumerate(LETTERS)}
-#: Bits of the sketch of repeated hashes: 4 MB, whatever the size of the table.
-SKETCH_BITS = 1 << 25
 #: A hash with more than one row in so many is hot; there are at most as many hot ones.
 HOT = 1024
 KEY = ["doc_id", "part", "h", "check"]
@@ -41,26 +39,6 @@ def own_failures(text: Column, min_words: int = 100, distinct: int = 80, capital
     return total
 
 
-def _place() -> Column:
-    return F.pmod(F.col("h"), F.lit(SKETCH_BITS).cast("long"))
-
-
-def sketch_of(hashes: DataFrame) -> DataFrame:
-    """``_bucket, _bits``: which hashes ``h`` there are, modulo the size of the sketch, which is fixed."""
-    return hashes.groupBy(F.bitmap_bucket_number(_place()).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_place())).alias("_bits"))
-
-
-def in_sketch(rows: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Rows whose hash is in the sketch, and a few others."""
-    near = rows.withColumn("_bucket", F.bitmap_bucket_number(_place())).join(
-        F.broadcast(sketch),  # SKETCH_BITS / 8 bytes in one row for each 4 KB at most, however large the table
-        "_bucket",
-    )
-    at = F.bitmap_bit_position(_place())
-    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return near.where((byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int"))) != 0).select(*rows.columns)
-
-
 def later_copies(rows: DataFrame, hashes: DataFrame) -> DataFrame:
     """Of ``doc_id, part, h, check, text`` the rows whose text a smaller id holds too; texts are compared whole.
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oddspark.llm.common import publish, text_of
+from oddspark.llm.common import in_sketch, publish, sketch_of, text_of
 from oddspark.llm.sampling import crc_of_id, learnable
 from oddspark.llm.wordfeatures import BUCKETS, Hashed, letter_words
 
@@ -300,7 +300,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     fold = F.coalesce(crc_of_id() % 5 == 0, F.lit(False))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("held_out", fold)
     known = learnable(labels, "toxic", fold)
-    taught = texts.where(~F.col("held_out")).join(known, "doc_id")
+    hashed_id = F.xxhash64("doc_id").alias("h")
+    near = in_sketch(texts.where(~F.col("held_out")).select("doc_id", "text", hashed_id), sketch_of(known.select(hashed_id)))
+    # texts without a label stay where they are; the others meet their labels by the same plan at every size
+    taught = near.join(known.hint("merge"), "doc_id")
     voters = Voters(*typical(taught))
     n = len(voters.names)
 
@@ -314,15 +317,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masks, pa.int64())], ["doc_id", "held_out", "mask"])
 
     votes = publish(texts.select("doc_id", "held_out", "text").mapInArrow(look, "doc_id long, held_out boolean, mask long"), "votes")
-    open_votes = votes.where(~F.col("held_out"))
+    open_votes = votes.where(~F.col("held_out") & F.col("doc_id").isNotNull())
     patterns = publish(
         open_votes.join(known, "doc_id", "left").groupBy("mask", "y").agg(F.count(F.lit(1)).alias("n")), "patterns"
     ).select("mask", "y", "n")
     model = fit_label_model(patterns, n, len(LEXICONS))
 
-    # a hash threshold that lets about sample_rows documents through
+    # a hash threshold that lets about sample_rows documents through, equal rows once
     share = min(1.0, sample_rows / max(1, open_votes.count()))
-    drawn = texts.where(~F.col("held_out")).where(F.xxhash64("doc_id", F.lit(11)) <= F.lit(min(2**63 - 1, int((share - 0.5) * 2**64))))
+    learned = texts.where(~F.col("held_out") & F.col("doc_id").isNotNull())
+    drawn = learned.where(F.xxhash64("doc_id", "text", F.lit(11)) <= F.lit(min(2**63 - 1, int((share - 0.5) * 2**64)))).select("doc_id", "text").distinct()
 
     def described(raw: bytes, hashed: Hashed):
         """Votes, and the features: buckets of words, one index per vote, one per level of stems."""

@@ -7,7 +7,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
-from oddspark.llm import filteraudit
+from oddspark.llm import common, filteraudit
 from tests.llm.data import DOCS, awkward_rows, docs_of, labels_of, words
 
 
@@ -63,7 +63,7 @@ def test_audit(spark, extra):
 def test_hot_copies_are_dealt(spark, monkeypatch):
     """A third of all rows with one text, and a hash that two texts share, in effect by a sketch of a few bits."""
     monkeypatch.setattr(filteraudit, "HOT", 4)
-    monkeypatch.setattr(filteraudit, "SKETCH_BITS", 64)
+    monkeypatch.setattr(common, "SKETCH_BITS", 64)
     rows = [(i, words(110, 1) if i % 3 == 0 else words(30, i) if i % 3 == 1 else words(20, i // 9), "en", "a", 1) for i in range(600)]
     assert found(filteraudit.audit(docs_of(spark, rows), labels_of(spark, LABELS))) == brute(rows, LABELS)
 
