@@ -23,7 +23,17 @@ def publish(df: DataFrame, name: str) -> DataFrame:
     spark: SparkSession = df.sparkSession
     path = new_table_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.published_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove published tables that nothing reads any more: everything made of them has been published itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.published_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +68,24 @@ def sketch_of(hashes: DataFrame) -> DataFrame:
     return hashes.groupBy(F.bitmap_bucket_number(_place()).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_place())).alias("_bits"))
 
 
-def in_sketch(rows: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Rows whose hash ``h`` is in the sketch, and a few others."""
+def _looked_up(rows: DataFrame, sketch: DataFrame, how: str) -> tuple[DataFrame, Column]:
     near = rows.withColumn("_bucket", F.bitmap_bucket_number(_place())).join(
         F.broadcast(sketch),  # SKETCH_BITS / 8 bytes in one row for each 4 KB at most, however large the table
         "_bucket",
+        how,
     )
     at = F.bitmap_bit_position(_place())
     byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return near.where((byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int"))) != 0).select(*rows.columns)
+    return near, byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
+
+
+def in_sketch(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Rows whose hash ``h`` is in the sketch, and a few others."""
+    near, held = _looked_up(rows, sketch, "inner")
+    return near.where(held).select(*rows.columns)
+
+
+def not_in_sketch(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+    """All rows that ``in_sketch`` leaves out, those without a hash among them."""
+    near, held = _looked_up(rows, sketch, "left")
+    return near.where(~F.coalesce(held, F.lit(False))).select(*rows.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddspark.llm.common import publish
+from oddspark.llm.common import discard, publish
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -35,13 +35,14 @@ def components(edges: DataFrame) -> DataFrame:
         ).distinct()
         least = larger.groupBy(F.col("a").alias("_n")).agg(F.min("b").alias("_m"))
         smaller = larger.join(least, F.col("a") == F.col("_n")).select("a", "b", "_m")
-        links = publish(
+        before, links = links, publish(
             smaller.select(F.explode(F.array(F.struct("a", F.col("_m").alias("b")), F.struct(F.col("b").alias("a"), F.col("_m").alias("b")))).alias("e"))
             .select("e.*")
             .where("a <> b")
             .distinct(),
             "links",
         )
+        discard(before)
         now = _state(links)
         if now == state:
             break
