@@ -22,12 +22,16 @@ _A_ALIAS = """al AS (SELECT DISTINCT alias, drug FROM (SELECT lower(n_name) AS a
   UNION ALL SELECT 'country ' || n_nationkey, n_name FROM nation UNION ALL SELECT 'land ' || n_nationkey, n_name FROM nation))"""
 
 
-def _orders(g: Given):
-    return scoring.score(g.orders(), ordered=False, rounded=False)
+def _orders(g: Given, layout: str = "by_drug"):
+    return g.stored("orders", lambda: scoring.score(g.orders(), ordered=False, rounded=False), layout)
 
 
-def _documents(g: Given):
-    return scoring.score(g.documents(), ordered=False, rounded=False)
+def _documents(g: Given, layout: str = "by_drug"):
+    return g.stored("documents", lambda: scoring.score(g.documents(), ordered=False, rounded=False), layout)
+
+
+def _profiles(g: Given, layout: str = "by_drug"):
+    return g.stored("profiles", lambda: PB.profiled(g), layout)
 
 
 def _aliases(g: Given):
@@ -117,17 +121,17 @@ _INDEX = """ix AS (SELECT reaction_pt, reaction_pt AS term, reaction_pt AS key,
 
 @query("reaction_index", q.with_(q.B_SCORED, _INDEX) + "SELECT * FROM ix")
 def reaction_index(g: Given):
-    return V.reaction_index(_documents(g))
+    return V.reaction_index(_documents(g, "by_reaction"))
 
 
 @query("reaction_options", q.with_(q.B_SCORED, _INDEX) + "SELECT reaction_pt, drugs, reports, strong FROM ix ORDER BY reports DESC, term LIMIT 300")
 def reaction_options(g: Given):
-    return V.reaction_options(V.reaction_index(_documents(g))).select("reaction_pt", "drugs", "reports", "strong")
+    return V.reaction_options(V.reaction_index(_documents(g, "by_reaction"))).select("reaction_pt", "drugs", "reports", "strong")
 
 
 @query("most_widespread", q.with_(q.B_SCORED, _INDEX) + "SELECT reaction_pt, drugs, reports FROM ix ORDER BY drugs DESC, term LIMIT 2")
 def most_widespread(g: Given):
-    return V.most_widespread(V.reaction_index(_documents(g))).select("reaction_pt", "drugs", "reports")
+    return V.most_widespread(V.reaction_index(_documents(g, "by_reaction"))).select("reaction_pt", "drugs", "reports")
 
 
 @query("corpus_scale", q.with_(q.B_SCORED) + "SELECT count(DISTINCT drug) AS drugs, count(DISTINCT reaction_pt) AS reactions, count(*) AS pairs FROM b_s")
@@ -141,7 +145,7 @@ def corpus_scale(g: Given):
     + "SELECT reaction_pt, drugs, total_drugs, drugs / total_drugs::DOUBLE AS share, CASE WHEN drugs / total_drugs::DOUBLE >= 0.5 THEN 'common' WHEN drugs / total_drugs::DOUBLE >= 0.15 THEN 'broad' ELSE 'narrow' END AS band FROM k",
 )
 def term_specificity(g: Given):
-    return V.term_specificity(scoring.score(g.documents("source"), ordered=False, rounded=False))
+    return V.term_specificity(g.stored("sources", lambda: scoring.score(g.documents("source"), ordered=False, rounded=False), "by_reaction"))
 
 
 _PAIR = ["NATION_0", "NATION_4"]
@@ -202,7 +206,7 @@ _MEDS, _SYMPTOMS = ["fr", "de", "es", "en"], ["LES", "UND", "THE", "WIR", "QQQQ"
       FROM grid LEFT JOIN spread USING (reaction_pt) LEFT JOIN e USING (drug, reaction_pt)""",
 )
 def worksheet_grid(g: Given):
-    scored = _documents(g)
+    scored = _documents(g, "by_reaction")
     listed = scored.where(F.col("reaction_pt").isin(*_SYMPTOMS) & F.col("drug").isin(*_MEDS)).select("drug", "reaction_pt")
     labelled = scored.join(L.attach_expectedness(listed, L.harm_text(g.label_documents())), ["drug", "reaction_pt"], "left")
     out = V.worksheet_grid(g.spark, labelled, _MEDS, _SYMPTOMS)
@@ -218,7 +222,7 @@ def worksheet_grid(g: Given):
     + f"SELECT drug, reaction_pt, a, {q.r4('IC025', 'IC025')}, tier, diagnosed, {PL.FORMATTED} FROM prof WHERE drug = 'NATION_0'",
 )
 def drug_profile(g: Given):
-    out = V.profile(PB.profiled(g).where("drug = 'NATION_0'"))
+    out = V.profile(_profiles(g).where("drug = 'NATION_0'"))
     return round_measures(out.select("drug", "reaction_pt", "a", "IC025", "tier", "diagnosed", "ror_text", "ic025_text", "ic_interval", "comparator_note", "flags"))
 
 
@@ -228,7 +232,7 @@ def drug_profile(g: Given):
     + f"SELECT drug, reaction_pt, a, {q.r4('IC025', 'IC025')}, tier, diagnosed, {PL.FORMATTED} FROM prof WHERE reaction_pt = 'RED BOLT'",
 )
 def reaction_profile(g: Given):
-    out = V.profile(PB.profiled(g).where("reaction_pt = 'RED BOLT'"))
+    out = V.profile(_profiles(g, "by_reaction").where("reaction_pt = 'RED BOLT'"))
     return round_measures(out.select("drug", "reaction_pt", "a", "IC025", "tier", "diagnosed", "ror_text", "ic025_text", "ic_interval", "comparator_note", "flags"))
 
 
@@ -249,7 +253,7 @@ def tracked_top(g: Given):
       FROM prof WHERE diagnosed AND {_WEAK} AND NOT coalesce(indication_overlap, false)) WHERE rank <= 2""",
 )
 def clean_top_pairs(g: Given):
-    best = V.top_rows(V.strong_rows(PB.profiled(g), WEAK, clean=True), 2)
+    best = V.top_rows(V.strong_rows(_profiles(g), WEAK, clean=True), 2)
     return round_measures(best.select("drug", "reaction_pt", "a", "IC025", "tier", "rank"))
 
 
@@ -259,5 +263,5 @@ def clean_top_pairs(g: Given):
     + f"SELECT drug, reaction_pt, a, {q.r4('IC025', 'IC025')}, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY IC025 DESC NULLS LAST, reaction_pt) AS rank FROM a_s) WHERE rank <= 8",
 )
 def top_per_drug(g: Given):
-    scored = scoring.score(g.orders("molecule"), ordered=False, rounded=False)
+    scored = g.stored("molecules", lambda: scoring.score(g.orders("molecule"), ordered=False, rounded=False))
     return round_measures(V.top_rows(scored, K.LIST_PER_DRUG).select("drug", "reaction_pt", "a", "IC025", "rank"))

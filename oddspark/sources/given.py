@@ -8,11 +8,18 @@ and events as users, tracked lists and logs. ``FIXTURES.md`` has the mapping.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddspark.operators import baskets as B
+from oddspark.session import shared_folder
+from oddspark.sources.stored import StoredTable
 
+#: The scored tables are stored twice, for questions about a drug and about a reaction.
+LAYOUTS = {"by_drug": ["drug", "reaction_pt"], "by_reaction": ["reaction_pt", "drug"]}
 STOPLIST_SUFFIX = " GIZMO"
 DESIGNATED = ["RED BOLT", "HOT ROD", "COLD GEAR", "OLD ANVIL"]
 NOUNS = ["ring", "rod", "gear", "bolt", "anvil", "plate", "widget", "gizmo"]
@@ -33,6 +40,18 @@ class Given:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored(self, name: str, rows: Callable[[], DataFrame], layout: str = "by_drug") -> DataFrame:
+        """A table that serving reads: published once a session, then read by every question asked of it.
+
+        The given tables do not change while a session lasts.
+        """
+        of = hashlib.sha256(self.sf_dir.encode()).hexdigest()[:12]
+        root = f"{shared_folder(self.spark).rstrip('/')}/stored-{name}-{self.spark.sparkContext.applicationId}-{of}"
+        table = StoredTable(self.spark, root, LAYOUTS)
+        if table.current() is None:
+            table.publish(rows())
+        return table.read(layout)
+
     # --- orders as reports -------------------------------------------------------
 
     def suppliers(self) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from oddspark.operators import snapshots as N
+from oddspark.streaming.once import OnceSink
 
 
 def run_cycle(
@@ -31,29 +34,35 @@ def run_cycle(
     return N.notifications(changes, tracked, users, existing, created_at=f"{when} 00:00:00")
 
 
-def start_change_stream(
-    arrivals: DataFrame, snapshot_path: str, notes_path: str, checkpoint: str, users: DataFrame, tracked: DataFrame,
-):
-    """Process scored tables arriving as a stream of ``(snapshot_date, ...)`` rows, one date at a time."""
+def change_batches(snapshot_path: str, notes_path: str, users: DataFrame, tracked: DataFrame, name: str = "changes") -> Callable[[DataFrame, int], None]:
+    """What to do with each batch of ``(snapshot_date, ...)`` rows: one cycle a date, oldest first, its notifications stored once.
+
+    A date that comes late is compared with the snapshot before it, and leaves later
+    ones as they are. A batch that comes again adds nothing.
+    """
 
-    def handle(batch: DataFrame, _epoch: int) -> None:
+    def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        sink = OnceSink(spark, notes_path, name)
+        if sink.taken(batch_id):
+            return
+        sink.begin(batch_id)
         batch = batch.persist()  # read once for the dates and once for each of them
-        days = [r[0] for r in batch.select("snapshot_date").distinct().orderBy("snapshot_date").collect()]
-        for day in days:
-            scored = batch.where(F.col("snapshot_date") == F.lit(day)).drop("snapshot_date")
-            existing = _read_or_none(spark, notes_path)
-            fresh = run_cycle(spark, scored, snapshot_path, str(day), users, tracked, existing=existing)
-            fresh.write.mode("append").parquet(notes_path)
-        batch.unpersist()
+        try:
+            for (day,) in batch.select("snapshot_date").distinct().orderBy("snapshot_date").collect():
+                scored = batch.where(F.col("snapshot_date") == F.lit(day)).drop("snapshot_date")
+                fresh = run_cycle(spark, scored, snapshot_path, str(day), users, tracked, existing=sink.read(batch_id))
+                sink.add(fresh, batch_id, str(day))
+            sink.commit(batch_id)
+        finally:
+            batch.unpersist()
 
-    return arrivals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return handle
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+def start_change_stream(
+    arrivals: DataFrame, snapshot_path: str, notes_path: str, checkpoint: str, users: DataFrame, tracked: DataFrame, name: str = "changes",
+) -> StreamingQuery:
+    """Process scored tables arriving as a stream of ``(snapshot_date, ...)`` rows; see :func:`change_batches`."""
+    handle = change_batches(snapshot_path, notes_path, users, tracked, name)
+    return arrivals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
