@@ -79,7 +79,8 @@ class Encoder:
         whole, split, new = [], [], set()
         for chunk in chunks:
             found = _LETTERS_THEN_MARKS.fullmatch(chunk)
-            if found and found[1].decode("utf-8").isalpha():
+            # a letter whose lower case holds a mark is not told apart from marks that follow
+            if found and (letters := found[1].decode("utf-8")).isalpha() and letters.lower().isalpha():
                 word = found[1].lower()
                 split.append((chunk, word, found[2]))
                 if word not in own:
