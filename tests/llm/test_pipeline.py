@@ -59,7 +59,7 @@ def test_pipeline_runs_and_matches_its_stages(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("conversations", "documents", "embeddings", "labels"):
+    for t in ("benchmark", "conversations", "documents", "embeddings", "labels"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     found = con.execute(ORACLES[name])
     columns = [d[0] for d in found.description]
