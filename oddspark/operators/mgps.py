@@ -112,6 +112,17 @@ def _sums(table: DataFrame, params: Params) -> tuple[float, np.ndarray, np.ndarr
     return out[0], out[1:6], out[6:].reshape(5, 5)
 
 
+def _within(theta: np.ndarray, slope: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """The quasi-Newton step among the parameters that it does not drive over their limits."""
+    inside = np.ones(len(theta), bool)
+    while True:
+        move = np.where(inside, (inverse * np.outer(inside, inside)) @ slope, 0.0)
+        over = (theta >= FREE_LIMIT) & (move > 0) | (theta <= -FREE_LIMIT) & (move < 0)
+        if not over.any():
+            return move
+        inside &= ~over
+
+
 def maximise(pairs: DataFrame, start: tuple = K.MGPS_START) -> Fit:
     """Maximum likelihood by quasi-Newton steps; tells whether it converged.
 
@@ -127,9 +138,7 @@ def maximise(pairs: DataFrame, start: tuple = K.MGPS_START) -> Fit:
         begun, step, size = value, 0, 1.0
         while step < MAX_STEPS:
             step += 1
-            # what would leave its limits stays there
-            inside = ~((theta >= FREE_LIMIT) & (slope > 0) | (theta <= -FREE_LIMIT) & (slope < 0))
-            move = np.where(inside, (inverse * np.outer(inside, inside)) @ slope, 0.0)
+            move = _within(theta, slope, inverse)
             gain = slope @ move
             if gain <= TOLERANCE * max(count, 1.0):
                 return Fit(_from_free(theta), count, float(begun), float(value), step, True)
