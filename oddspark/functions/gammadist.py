@@ -31,6 +31,15 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return np.log(z) - 0.5 / z - inv2 * (1 / 12 - inv2 * (1 / 120 - inv2 * (1 / 252 - inv2 / 240))) - back
 
 
+def trigamma(x: np.ndarray) -> np.ndarray:
+    """Second derivative of log Gamma for positive x, in the same way."""
+    x = np.asarray(x, dtype=float)
+    inv = 1.0 / (x + 10.0)
+    inv2 = inv * inv
+    back = sum(1.0 / (x + i) ** 2 for i in range(10))
+    return inv + 0.5 * inv2 + inv * inv2 * (1 / 6 - inv2 * (1 / 30 - inv2 * (1 / 42 - inv2 / 30))) + back
+
+
 def _series(s: np.ndarray, x: np.ndarray) -> np.ndarray:
     term = 1.0 / s
     total = term.copy()

@@ -2,8 +2,9 @@
 
 The prior is fitted to every pair with a positive expected count. Spark groups the
 pairs by their exact (observed, expected) values and evaluates, in one aggregation a
-step, the likelihood, its gradient and the outer products of the scores of all
-groups; only these 31 sums reach the driver, which takes a quasi-Newton step.
+step, the likelihood, its gradient and its second derivatives over all groups, for each
+of three searches; only these 93 sums reach the driver, which takes Newton steps inside
+trusted radii.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ MAX_STEPS = 300
 FREE_LIMIT = 12.0
 #: The fit has converged when a step promises less than this much likelihood per pair.
 TOLERANCE = 1e-7
+#: Least and largest length of a step.
+LEAST_RADIUS, MOST_RADIUS = 1e-9, 4.0
+#: Groups that one task of a step sums; small partitions of the groups are read together.
+GROUPS_PER_TASK = 100_000
 
 
 class Params(NamedTuple):
@@ -74,89 +79,194 @@ def _to_free(params: tuple) -> np.ndarray:
 
 
 def scores(n: np.ndarray, e: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Log likelihood of each pair, and its derivatives by the logarithms of the shapes and rates and the logit of the weight.
+    """Log likelihood of each pair, and its derivatives by the logarithms of the shapes and rates and the logit of the weight."""
+    return _derivatives(n, e, np.ones(len(n)), params)[:2]
+
+
+def _derivatives(n: np.ndarray, e: np.ndarray, w: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``scores``, and the second derivatives of the likelihood of all pairs, ``w`` times each.
 
     Within a component a count is negative binomial. A mixture's derivative by a
-    component's parameter is that of the component times the posterior share of it.
+    component's parameter is that of the component times the posterior share of it;
+    the second ones add the spread of the first ones between the components.
     """
-    parts, slopes = [], []
+    zero, one = np.zeros(len(n)), np.ones(len(n))
+    parts, slopes, bends = [], [], []
     logs = _log_shares(params.pi)
     for alpha, beta, log_share in ((params.alpha1, params.beta1, logs[0]), (params.alpha2, params.beta2, logs[1])):
-        near = np.log(beta) - np.log(beta + e)
-        parts.append(
-            log_share + G.lgamma(n + alpha) - G.lgamma(np.array(alpha)) - G.lgamma(n + 1.0) + alpha * near + n * (np.log(e) - np.log(beta + e))
+        near, shape = np.log(beta) - np.log(beta + e), np.array(alpha)
+        parts.append(log_share + G.lgamma(n + alpha) - G.lgamma(shape) - G.lgamma(n + 1.0) + alpha * near + n * (np.log(e) - np.log(beta + e)))
+        by_shape = alpha * (G.digamma(n + alpha) - G.digamma(shape) + near)
+        slopes.append([by_shape, alpha - (n + alpha) * beta / (beta + e)])
+        bends.append(
+            (by_shape + alpha**2 * (G.trigamma(n + alpha) - G.trigamma(shape)), alpha * e / (beta + e), -(n + alpha) * beta * e / (beta + e) ** 2)
         )
-        slopes.append(alpha * (G.digamma(n + alpha) - G.digamma(np.array(alpha)) + near))
-        slopes.append(alpha - (n + alpha) * beta / (beta + e))
     total = np.logaddexp(*parts)
-    first = np.exp(parts[0] - total)
-    held = [first, first, 1 - first, 1 - first]
-    return total, np.stack([s * h for s, h in zip(slopes, held)] + [first - params.pi], axis=1)
-
-
-def _sums(table: DataFrame, params: Params) -> tuple[float, np.ndarray, np.ndarray]:
-    """Likelihood, gradient and information over all groups, one aggregation."""
+    held = [np.exp(part - total) for part in parts]
+    within = [
+        np.stack([*slopes[0], zero, zero, one - params.pi], axis=1),
+        np.stack([zero, zero, *slopes[1], zero - params.pi], axis=1),
+    ]
+    slope = held[0][:, None] * within[0] + held[1][:, None] * within[1]
+    curve = -(slope * w[:, None]).T @ slope
+    for k in range(2):
+        share, at = w * held[k], 2 * k
+        curve += (within[k] * share[:, None]).T @ within[k]
+        shapes, both, rates = (share @ bend for bend in bends[k])
+        curve[at : at + 2, at : at + 2] += [[shapes, both], [both, rates]]
+    curve[4, 4] -= params.pi * (1 - params.pi) * w.sum()
+    return total, slope, curve
+
+
+def _sums(table: DataFrame, points: list[Params]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Likelihood, gradient and second derivatives over all groups at each of the points, one aggregation."""
+    size = 31 * len(points)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(31)
+        out = np.zeros((len(points), 31))
         for batch in batches:
             n, e, w = (batch.column(i).to_numpy() for i in range(3))
-            value, slope = scores(n, e, params)
-            out += np.concatenate(([w @ value], w @ slope, ((slope * w[:, None]).T @ slope).ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(31)), pa.array(out)], ["at", "value"])
+            for at, params in enumerate(points):
+                value, slope, curve = _derivatives(n, e, w, params)
+                out[at] += np.concatenate(([w @ value], w @ slope, curve.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(out.ravel())], ["at", "value"])
 
     rows = table.select("n", "e", "w").mapInArrow(add, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
-    out = np.zeros(31)
+    out = np.zeros(size)
     for r in rows:
         out[r["at"]] = r["value"]
-    return out[0], out[1:6], out[6:].reshape(5, 5)
+    return [(sums[0], sums[1:6], sums[6:].reshape(5, 5)) for sums in out.reshape(-1, 31)]
 
 
-def _within(theta: np.ndarray, slope: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-    """The quasi-Newton step among the parameters that it does not drive over their limits."""
+def _newton(slope: np.ndarray, curve: np.ndarray, radius: float) -> np.ndarray:
+    """The move of at most this length that promises most by slope and curvature.
+
+    Where the likelihood bends up in some direction, or the full step is longer,
+    the damping that gives a step of just this length is found by bisection.
+    """
+    bend, axes = np.linalg.eigh(-curve)
+    along = axes.T @ slope
+
+    def damped(by: float) -> np.ndarray:
+        return along / np.maximum(bend + by, 1e-300)
+
+    if bend[0] > 0 and np.linalg.norm(damped(0.0)) <= radius:
+        return axes @ damped(0.0)
+    low = max(0.0, -bend[0])
+    high = low + np.linalg.norm(slope) / radius
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if np.linalg.norm(damped(middle)) > radius else (low, middle)
+    move = damped(high)
+    left = radius**2 - move @ move
+    if bend[0] <= 0 and left > 0:  # no slope along the upward bend: go along it
+        move[0] += math.copysign(math.sqrt(left + move[0] ** 2) - abs(move[0]), move[0])
+    return axes @ move
+
+
+def _within(theta: np.ndarray, slope: np.ndarray, curve: np.ndarray, radius: float) -> np.ndarray:
+    """The step among the parameters that it does not drive over the limits that they have reached."""
     inside = np.ones(len(theta), bool)
     while True:
-        move = np.where(inside, (inverse * np.outer(inside, inside)) @ slope, 0.0)
+        move, free = np.zeros(len(theta)), np.flatnonzero(inside)
+        if len(free):
+            move[free] = _newton(slope[free], curve[np.ix_(free, free)], radius)
         over = (theta >= FREE_LIMIT) & (move > 0) | (theta <= -FREE_LIMIT) & (move < 0)
         if not over.any():
             return move
         inside &= ~over
 
 
+def _to_limit(theta: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Where the move leads, or where it first meets a limit."""
+    room = np.where(move > 0, FREE_LIMIT - theta, -FREE_LIMIT - theta)
+    part = np.divide(room, move, out=np.full(len(theta), np.inf), where=move != 0)
+    first = part.min()
+    if first > 1.0:
+        return theta + move
+    return np.clip(np.where(part == first, np.sign(move) * FREE_LIMIT, theta + first * move), -FREE_LIMIT, FREE_LIMIT)
+
+
+class _Search:
+    """One way up from one start: Newton steps in free parameters, which ``frame`` turns into the five.
+
+    The radius grows where the likelihood rises as promised and shrinks where it does
+    not. A step ends at the first limit that it meets; from there the parameter is held
+    as long as it pushes outwards. Converged means that not even a step of length one
+    (in logarithms) promises a gain.
+    """
+
+    def __init__(self, at: np.ndarray, frame: np.ndarray, sums: tuple, tolerance: float) -> None:
+        self.at, self.frame, self.tolerance = at, frame, tolerance
+        self.value, self.slope, self.curve = sums
+        self.radius, self.converged = 1.0, False
+
+    def params(self) -> Params:
+        return _from_free(self.frame @ self.at)
+
+    def propose(self) -> Params | None:
+        """Where to go next, nothing when the search is over."""
+        if self.converged or self.radius <= LEAST_RADIUS:
+            return None
+        slope, curve = self.frame.T @ self.slope, self.frame.T @ self.curve @ self.frame
+        promise = lambda move: slope @ move + move @ curve @ move / 2
+        move = _within(self.at, slope, curve, max(self.radius, 1.0))
+        if promise(move) <= self.tolerance:
+            self.converged = True
+            return None
+        if self.radius < 1.0:
+            move = _within(self.at, slope, curve, self.radius)
+        self.to = _to_limit(self.at, move)
+        self.length, self.promised = np.linalg.norm(self.to - self.at), promise(self.to - self.at)
+        return _from_free(self.frame @ self.to)
+
+    def accept(self, sums: tuple) -> None:
+        """Go there if the likelihood has risen."""
+        noise = 1e-11 * abs(self.value)
+        kept = (sums[0] - self.value + noise) / (self.promised + noise) if np.isfinite(sums[0]) else -1.0
+        if kept < 0.25:
+            self.radius = self.length / 4
+        elif kept > 0.75:
+            self.radius = min(MOST_RADIUS, max(self.radius, 2 * self.length))
+        if kept > 1e-4:
+            self.at = self.to
+            self.value, self.slope, self.curve = sums
+
+
 def maximise(pairs: DataFrame, start: tuple = K.MGPS_START) -> Fit:
-    """Maximum likelihood by quasi-Newton steps; tells whether it converged.
+    """Maximum likelihood; tells whether the search that won converged.
 
-    The first curvature is the outer products of the scores; each accepted step
-    improves it by the change of the gradient.
+    Three searches go up side by side: from ``start``; from a wide and a narrow component
+    around the mean ratio of observed to expected; and with both components held equal.
+    The likelihood has more than one peak, the higher one wins. Equal components win
+    unless two gain more than their three further parameters are worth (half the
+    logarithm of the number of pairs each): a weak second one follows noise.
     """
     table = groups(pairs).persist()
     try:
-        count = table.agg(F.sum("w")).first()[0] or 0.0
-        theta = _to_free(start)
-        value, slope, information = _sums(table, _from_free(theta))
-        inverse = np.linalg.inv(information + 1e-3 * np.diag(np.diag(information)) + 1e-9 * np.eye(5))
-        begun, step, size = value, 0, 1.0
+        facts = table.agg(F.count("w"), F.sum("w"), F.sum(F.col("w") * F.col("n")), F.sum(F.col("w") * F.col("e"))).first()
+        distinct, count, seen, due = (v or 0.0 for v in facts)
+        parts = table.coalesce(math.ceil(distinct / GROUPS_PER_TASK) or 1)
+        ratio = seen / due if seen and due else 1.0
+        one, tied = np.eye(5), np.zeros((5, 2))
+        tied[[0, 1, 2, 3], [0, 1, 0, 1]] = 1.0
+        begin = [(_to_free(start), one), (_to_free((1.0, 1.0 / ratio, 100.0, 100.0 / ratio, 0.5)), one), (np.array([0.0, -math.log(ratio)]), tied)]
+        begin = [(np.clip(at, -FREE_LIMIT, FREE_LIMIT), frame) for at, frame in begin]
+        sums = _sums(parts, [_from_free(frame @ at) for at, frame in begin])
+        searches = [_Search(at, frame, s, TOLERANCE * max(count, 1.0)) for (at, frame), s in zip(begin, sums)]
+        begun, step = searches[0].value, 0
         while step < MAX_STEPS:
             step += 1
-            move = _within(theta, slope, inverse)
-            gain = slope @ move
-            if gain <= TOLERANCE * max(count, 1.0):
-                return Fit(_from_free(theta), count, float(begun), float(value), step, True)
-            move *= size * min(1.0, 2.0 / np.abs(move).max())
-            move = np.clip(theta + move, -FREE_LIMIT, FREE_LIMIT) - theta
-            after, steeper, _ = _sums(table, _from_free(theta + move))
-            if not (np.isfinite(after) and after >= value + 1e-4 * (slope @ move)):
-                size /= 4
-                if size < 1e-12:
-                    break
-                continue
-            turn, size = slope - steeper, 1.0
-            if move @ turn > 0:
-                scale = 1 / (move @ turn)
-                left = np.eye(5) - scale * np.outer(move, turn)
-                inverse = left @ inverse @ left.T + scale * np.outer(move, move)
-            theta, value, slope = theta + move, after, steeper
-        return Fit(_from_free(theta), count, float(begun), float(value), step, False)
+            going = [(search, to) for search in searches if (to := search.propose()) is not None]
+            if not going:
+                break
+            for (search, _), found in zip(going, _sums(parts, [to for _, to in going])):
+                search.accept(found)
+        *two, equal = searches
+        best = max(two, key=lambda search: search.value)
+        if best.value - equal.value <= 1.5 * math.log(max(count, 1.0)):
+            best = equal
+        return Fit(best.params(), count, float(begun), float(best.value), step, best.converged)
     finally:
         table.unpersist()
 

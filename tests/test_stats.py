@@ -13,6 +13,7 @@ from oddspark.operators import baskets as B
 from oddspark.operators import counts as C
 from oddspark.operators import mgps as M
 from oddspark.operators import scoring
+from oddspark.sources.given import Given
 
 CELLS = "drug string, reaction_pt string, a long, b long, c long, d long, N long"
 
@@ -124,6 +125,53 @@ def test_mgps_scores_are_derivatives():
         assert slope[:, i] == pytest.approx(change, rel=1e-5, abs=1e-7)
 
 
+def test_mgps_second_derivatives():
+    n, e, w = np.array([0.0, 1, 5, 40, 900]), np.array([0.3, 1.2, 4.0, 55.0, 800.0]), np.array([7.0, 1, 3, 2, 5])
+    theta = M._to_free((0.7, 0.4, 3.0, 2.5, 0.4))
+    curve = M._derivatives(n, e, w, M._from_free(theta))[2]
+    assert curve == pytest.approx(curve.T, abs=1e-9)
+    for i in range(5):
+        up, down = theta.copy(), theta.copy()
+        up[i], down[i] = up[i] + 1e-5, down[i] - 1e-5
+        change = w @ (M.scores(n, e, M._from_free(up))[1] - M.scores(n, e, M._from_free(down))[1]) / 2e-5
+        assert curve[i] == pytest.approx(change, rel=1e-5, abs=1e-6)
+
+
+def test_mgps_step_promises_most_within_its_length():
+    rng = np.random.default_rng(3)
+    for case in range(40):
+        curve = rng.normal(size=(5, 5))
+        curve = curve + curve.T - (6 * np.eye(5) if case % 2 else 0)
+        slope = rng.normal(size=5) * (0 if case == 2 else 1)
+        move = M._newton(slope, curve, 0.7)
+        assert np.linalg.norm(move) <= 0.7 * (1 + 1e-9)
+        others = rng.normal(size=(400, 5))
+        others *= 0.7 * rng.random((400, 1)) / np.linalg.norm(others, axis=1, keepdims=True)
+        best = (others @ slope + np.einsum("ij,jk,ik->i", others, curve, others) / 2).max()
+        assert slope @ move + move @ curve @ move / 2 >= best - 1e-9
+
+
+def test_mgps_move_ends_at_the_first_limit():
+    theta, move = np.array([11.0, -11.5, 0, 0, 0]), np.array([4.0, -1.0, 2.0, 0, 0])
+    assert M._to_limit(theta, move) == pytest.approx([12.0, -11.75, 0.5, 0, 0])
+    assert M._to_limit(theta, move / 8) == pytest.approx(theta + move / 8)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_mgps_fit_of_the_given_tables(spark, sf):
+    """No move of a tenth in one parameter, or in a shape and its rate, raises the likelihood by more than the tolerance."""
+    pairs = C.contingency(B.eligible(Given(spark, f"/root/testdata/{sf}").documents()))
+    found = M.maximise(pairs)
+    assert found.converged and found.steps < 60
+    n, e, w = (M.groups(pairs).toPandas()[c].to_numpy(float) for c in "new")
+    theta = M._to_free(found.params)
+    for i in (0, 1, 2, 3, 4, [0, 1], [2, 3]):
+        for by in (-0.1, 0.1):
+            other = theta.copy()
+            other[i] = np.clip(other[i] + by, -M.FREE_LIMIT, M.FREE_LIMIT)
+            assert w @ M.scores(n, e, M._from_free(other))[0] <= found.likelihood + 1e-6 * w.sum()
+
+
 def test_mgps_fit_finds_planted_parameters(spark):
     rng = np.random.default_rng(8)
     size = 20000
