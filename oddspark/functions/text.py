@@ -94,7 +94,7 @@ def tokens(text: Column) -> Column:
 
 def word_starts(toks: Column) -> Column:
     """1-based positions of the word tokens."""
-    first = F.when(F.element_at(toks, 1).rlike(f"^{_WORD}"), 1).otherwise(2)
+    first = F.when(F.try_element_at(toks, F.lit(1)).rlike(f"^{_WORD}"), 1).otherwise(2)
     none = F.array().cast("array<int>")
     return F.when(F.size(toks) >= first, F.sequence(first, F.size(toks), F.lit(2))).otherwise(none)
 

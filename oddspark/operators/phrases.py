@@ -8,6 +8,9 @@ and neither side has to fit on one machine.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,15 +55,33 @@ def phrase_matches(texts: DataFrame, text_col: str, terms: DataFrame, plural: bo
     return hits.select(*keys, "start", "words", "term", found.alias("found"))
 
 
+def _without_overlaps(keys: list[str]):
+    """Scan of hits sorted by key and start; a hit that begins inside the last one kept is dropped."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, last = None, 0
+        for batch in batches:
+            column = lambda name: batch.column(name).to_pylist()
+            keep = []
+            for *key, start, words in zip(*map(column, keys), column("start"), column("words")):
+                if key != place:
+                    place, last = key, 0
+                keep.append(start > last)
+                if keep[-1]:
+                    last = start + 2 * words - 2
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return scan
+
+
 def leftmost_longest(matches: DataFrame, *keys: str) -> DataFrame:
-    """Drop overlaps the way one scan with an alternation would: leftmost first, then longest term."""
-    hit = F.struct("start", (-F.length("term")).alias("neg_len"), "words", "term", "found")
-    ordered = matches.groupBy(*keys).agg(F.sort_array(F.collect_set(hit)).alias("hits"))
-    shape = "struct<last:int,kept:array<struct<start:int,neg_len:int,words:int,term:string,found:string>>>"
-    start = F.struct(F.lit(0).alias("last"), F.array().alias("kept")).cast(shape)
-    step = lambda acc, h: F.when(
-        h["start"] > acc["last"],
-        F.struct((h["start"] + 2 * h["words"] - 2).alias("last"), F.concat(acc["kept"], F.array(h)).alias("kept")).cast(shape),
-    ).otherwise(acc)
-    kept = F.aggregate("hits", start, step, lambda acc: acc["kept"])
-    return ordered.select(*keys, F.inline(kept)).drop("neg_len")
+    """Drop overlaps the way one scan with an alternation would: leftmost first, then longest term.
+
+    The longest term of a start is settled by an aggregation. The rest is one pass over hits
+    in order of their place, which holds the end of the last hit kept and nothing else.
+    """
+    hit = F.struct((-F.length("term")).alias("neg_len"), "words", "term", "found")
+    longest = matches.groupBy(*keys, "start").agg(F.min(hit).alias("hit"))
+    hits = longest.select(*keys, "start", "hit.words", "hit.term", "hit.found")
+    ordered = hits.repartition(*keys).sortWithinPartitions(*keys, "start")
+    return ordered.mapInArrow(_without_overlaps(list(keys)), hits.schema)

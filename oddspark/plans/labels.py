@@ -9,7 +9,6 @@ from oddspark.functions import display as D
 from oddspark.functions import text as X
 from oddspark.functions.stats import round_measures
 from oddspark.operators import baskets as B
-from oddspark.operators import counts as C
 from oddspark.operators import labels as L
 from oddspark.operators import outcomes, scoring
 from oddspark.plans import bias as PB
@@ -46,18 +45,14 @@ def expectedness(g: Given):
     return round_measures(out.select("drug", "reaction_pt", "a", "IC025", "tier", "label_found", "labelled", "boxed_warning"))
 
 
-_PER_LANGUAGE = 200
-_DICT = f"""dict AS (SELECT drug AS owner, lower(reaction_pt) AS term FROM (
-  SELECT drug, reaction_pt, row_number() OVER (PARTITION BY drug ORDER BY n DESC, reaction_pt) AS rn FROM (
-    SELECT drug, reaction_pt, count(*) AS n FROM b_rd JOIN b_rr USING (report_id) WHERE regexp_full_match(reaction_pt, '[A-Z]{{5,}}') GROUP BY ALL)) WHERE rn <= {_PER_LANGUAGE})"""
+_DICT = r"""dict AS (SELECT DISTINCT drug AS owner, lower(reaction_pt) AS term FROM b_rd JOIN b_rr USING (report_id) WHERE regexp_full_match(reaction_pt, '\p{L}{5,}'))"""
 
 
 def dictionary(g: Given):
-    """Per language its commonest ASCII words of five letters or more, as catalogue entries with variants."""
-    words = C.pair_counts(B.eligible(g.documents())).where(F.col("reaction_pt").rlike("^[A-Z]{5,}$"))
-    top = C.top_per_group(words, "drug", _PER_LANGUAGE, F.desc("a"), F.asc("reaction_pt"))
-    entries = top.groupBy("drug").agg(F.sort_array(F.collect_list(F.lower("reaction_pt"))).alias("variants"))
-    return entries.withColumn("epc", F.lit(None).cast("string"))
+    """The words of five letters or more of each language, one catalogue entry a word."""
+    words = B.eligible(g.documents()).select(F.explode("drugs").alias("drug"), F.col("reactions")).select("drug", F.explode("reactions").alias("word"))
+    named = words.where(F.col("word").rlike(r"^\p{L}{5,}$")).distinct()
+    return named.select("drug", F.array(F.lower("word")).alias("variants"), F.lit(None).cast("string").alias("epc"))
 
 
 _MENTIONS = (
@@ -65,7 +60,8 @@ _MENTIONS = (
     + r""", sent AS (SELECT drug, page_id, unnest(string_split(text, '. ')) AS sentence, generate_subscripts(string_split(text, '. '), 1) AS sno, len(string_split(text, '. ')) AS ns FROM c_flat),
 tok AS (SELECT drug, page_id, sno, unnest(regexp_extract_all(sentence, '[\p{L}\p{N}_]+')) AS word, generate_subscripts(regexp_extract_all(sentence, '[\p{L}\p{N}_]+'), 1) AS pos FROM sent),
 terms AS (SELECT DISTINCT term FROM dict),
-hit AS (SELECT drug, page_id, sno, pos, word, term, row_number() OVER (PARTITION BY drug, page_id, sno, pos ORDER BY length(term) DESC) AS rn FROM tok JOIN terms ON lower(word) = term OR lower(word) = term || 's'),
+spelt AS (SELECT *, lower(word) AS key FROM tok UNION ALL SELECT *, left(lower(word), -1) FROM tok WHERE lower(word) LIKE '%s'),
+hit AS (SELECT drug, page_id, sno, pos, word, term, row_number() OVER (PARTITION BY drug, page_id, sno, pos ORDER BY length(term) DESC) AS rn FROM spelt JOIN terms ON key = term),
 own AS (SELECT h.drug AS source, owner AS target, substr(word, 1, length(h.term)) AS term, page_id, sno,
   row_number() OVER (PARTITION BY h.drug, owner ORDER BY length(h.term) DESC, page_id, sno, pos) AS k FROM hit h JOIN dict ON dict.term = h.term WHERE rn = 1 AND owner <> h.drug),
 raw AS (SELECT source, target, term, trim(sentence || CASE WHEN own.sno < ns THEN '.' ELSE '' END) AS quote FROM own JOIN sent ON sent.drug = source AND sent.page_id = own.page_id AND sent.sno = own.sno WHERE k = 1),

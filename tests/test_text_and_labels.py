@@ -45,6 +45,21 @@ def test_phrases_equal_one_alternation_scan(spark):
     assert sorted((r["id"], r["term"], r["found"]) for r in hits.collect()) == want
 
 
+def test_overlap_scan_of_one_long_piece(spark):
+    """A megabyte without a full stop, every hit overlapping the next one, beside a second text under a null key."""
+    n = 130_000
+    rows = spark.createDataFrame([(1, "alpha beta " * (n // 2)), (None, "beta alpha beta gamma beta"), (3, "")], "id int, text string")
+    dictionary = spark.createDataFrame([("alpha beta",), ("beta alpha",), ("beta",), ("beta gamma beta",)], "term string")
+    hits = leftmost_longest(phrase_matches(rows, "text", dictionary), "id").groupBy("id", "term").count().collect()
+    assert {(r["id"], r["term"]): r["count"] for r in hits} == {(1, "alpha beta"): n // 2, (None, "beta alpha"): 1, (None, "beta gamma beta"): 1}
+
+
+def test_mentions_through_words_with_accents(spark):
+    texts = spark.createDataFrame([("a", 1, "Après la Forêt, étés"), ("b", 1, None)], "drug string, doc_id long, text string")
+    entries = spark.createDataFrame([("fr", ["forêt"], None), ("fr", ["après"], None), ("x", ["étéss"], None)], "drug string, variants array<string>, epc string")
+    assert [tuple(r) for r in L.mentions(texts, L.term_index(entries)).collect()] == [("a", "fr", "Après", "Après la Forêt, étés")]
+
+
 def test_mentions_quote_the_sentence(spark):
     texts = spark.createDataFrame([("a", 1, "Starts here with betadrug use. Avoid gammadrugs and class inhibitors. End"), ("a", 2, "betadrug again"), ("betadrug", 1, "betadrug alone")],
         "drug string, doc_id long, text string",
