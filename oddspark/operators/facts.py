@@ -24,16 +24,37 @@ def molecule_forms(molecules: DataFrame) -> DataFrame:
     return molecules.select("molecule", F.explode(X.name_forms(F.col("molecule"), F.col("variants"))).alias("term")).distinct()
 
 
+#: Tasks that the rows of one name text are dealt to.
+SALTS = 16
+
+
 def facts_match(records: DataFrame, forms: DataFrame) -> DataFrame:
     """Every record once per molecule its ``haystack`` names, with all its columns.
 
     Names repeat a lot across records, so the dictionary lookup runs on distinct
-    haystacks and its result is joined back.
+    haystacks. Its result is joined back on a digest of the text and a salt taken from
+    the record, so neither a long nor a popular name makes a wide or a hot key.
+    """
+    columns = [c for c in records.columns if c != "haystack"]
+    keyed = records.where("haystack != ''").withColumn("_text", F.sha2("haystack", 256))
+    texts = keyed.select("_text", "haystack").distinct()
+    named = phrase_matches(texts, "haystack", forms.select("term")).join(forms, "term").groupBy("_text").agg(F.collect_set("molecule").alias("_named"))
+    dealt = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = keyed.select(*columns, "_text", F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias("_salt"))
+    return salted.join(dealt, ["_text", "_salt"]).select(*columns, F.explode("_named").alias("molecule"))
+
+
+def molecule_baskets(baskets: DataFrame, entries: DataFrame, forms: DataFrame) -> DataFrame:
+    """``baskets`` with the molecules that the entries of each report name beside its classes.
+
+    ``entries(report_id, haystack)`` has one row per drug entry, ``forms(molecule, term)`` any spelling.
+    A report's entries are cut to its molecules before they meet the baskets; all other columns stay.
     """
-    texts = records.select("haystack").where("haystack != ''").distinct()
-    keyed = texts.withColumn("text", F.col("haystack"))
-    named = phrase_matches(keyed, "text", forms.select("term")).join(forms, "term").select("haystack", "molecule").distinct()
-    return records.join(named, "haystack").drop("haystack")
+    named = facts_match(entries.select("report_id", "haystack"), forms)
+    found = named.groupBy("report_id").agg(F.collect_set("molecule").alias("_named"))
+    none = F.array().cast("array<string>")
+    both = F.array_sort(F.array_union(F.coalesce("drugs", none), F.coalesce("_named", none)))
+    return baskets.join(found, "report_id", "left").withColumn("drugs", both).drop("_named")
 
 
 def molecule_reports(products: DataFrame, variants: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oddspark.operators import facts as X
+from oddspark.operators import scoring
 from oddspark.plans import sql as q
 from oddspark.plans.registry import query
 from oddspark.sources import given as G
+from oddspark.sources import reports as R
 from oddspark.sources.given import Given
 
 def _hay():
@@ -72,6 +74,33 @@ def facts_match(g: Given):
     return X.facts_match(records, X.molecule_forms(molecules(g)))
 
 
+def _entry_sql(where: str) -> str:
+    """Classes and molecules of the entries of every report, and kinds of part as its reactions."""
+    return f"""n_in AS (SELECT * FROM a_lines WHERE {where}),
+n_rd AS (SELECT DISTINCT report_id, drug FROM n_in UNION SELECT DISTINCT report_id, f.molecule FROM n_in JOIN f ON {_MATCH.format('lower(reaction_pt)')}),
+n_rr AS (SELECT DISTINCT report_id, upper(trim(indication)) AS reaction_pt FROM a_lines)"""
+
+
+def _scored_sql(where: str) -> str:
+    return q.with_(_FORMS, q.A_LINES, _entry_sql(where), q.cells("n", "n_rd", "n_rr"), q.stats("n_t", "n_s")) + f"SELECT {q.SCORED} FROM n_s"
+
+
+def _both_levels(g: Given, roles: list[str] | None = None):
+    nested = g.nested_reports()
+    baskets = R.class_baskets(nested, roles).select("report_id", "drugs", "reactions")
+    return scoring.score(X.molecule_baskets(baskets, R.report_drug(nested, roles), X.molecule_forms(molecules(g))), ordered=False)
+
+
+@query("score_molecules", _scored_sql("true"))
+def score_molecules(g: Given):
+    return _both_levels(g)
+
+
+@query("score_suspects", _scored_sql("l_returnflag <> 'R'"))
+def score_suspects(g: Given):
+    return _both_levels(g, [R.SUSPECT])
+
+
 _FACTS = q.with_(
     _FORMS,
     f"""pm AS (SELECT DISTINCT p_partkey, molecule FROM part JOIN f ON {_MATCH.format('lower(p_name)')}),

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddspark.operators import baskets as B
+from oddspark.sources import reports as R
 from oddspark.session import shared_folder
 from oddspark.sources.stored import StoredTable
 
@@ -101,6 +102,23 @@ class Given:
         )
         return B.from_rows(self.order_lines(), drug_col=level, carry=carry).join(head, "report_id")
 
+    def nested_reports(self) -> DataFrame:
+        """Order reports as nested documents: a line is a drug entry of its supplier's class, its kind of part a reaction."""
+        entry = F.struct(
+            F.upper("reaction_pt").alias("medicinalproduct"), F.col("indication").alias("drugindication"),
+            F.when(F.col("l_returnflag") == "R", R.CONCOMITANT).otherwise(R.SUSPECT).alias("drugcharacterization"),
+            F.struct(F.lit(None).cast("string").alias("activesubstancename")).alias("activesubstance"),
+            F.struct(*(F.lit(None).cast("array<string>").alias(c) for c in ("generic_name", "brand_name", "substance_name")), F.array("drug").alias("pharm_class_epc")).alias("openfda"),
+        )
+        reaction = F.struct(F.col("indication").alias("reactionmeddrapt"))
+        lines = self.order_lines().groupBy("report_id").agg(F.collect_set(entry).alias("drug"), F.collect_set(reaction).alias("reaction"))
+        missing = F.lit(None).cast("string")
+        return lines.select(
+            F.col("report_id").cast("string").alias("safetyreportid"),
+            *(missing.alias(c) for c in R.REPORT.names[1:-2]), F.lit(None).cast(R.REPORT["primarysource"].dataType).alias("primarysource"),
+            F.struct(missing.alias("patientsex"), missing.alias("patientonsetage"), "drug", "reaction").alias("patient"),
+        )
+
     def reactions(self) -> DataFrame:
         return self.table("part").select(F.upper("p_name").alias("reaction_pt")).distinct()
 
