@@ -3,7 +3,7 @@
 Vectors are dealt into blocks at random and queries into groups; every (group, block)
 is one small task. There both sides are indexed by cover trees: a node has a centre
 and the radius that covers its points, and its children are centres that are further
-apart than half the radius and cover it at that half. Pairs of nodes are visited best
+apart than the radius over ``BASE`` and cover it at that. Pairs of nodes are visited best
 first; a pair goes if the inner product of the centres plus what the radii can add is
 below the worst kth score of the queries in the group node.
 """
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 #: Vectors of a block and queries of a group.
 BLOCK, GROUP = 4096, 2048
-LEAF = 64
+#: How much smaller a child's radius is, and the vectors and queries that are compared without a tree.
+BASE, LEAF, QUERY_LEAF = 1.3, 16, 4
+LOWEST, HIGHEST = -(2**63), 2**63 - 1
 
 
 class Node:
@@ -29,12 +31,10 @@ class Node:
         self.norm = float((centre @ centre) ** 0.5)
 
 
-def cover_tree(points) -> Node:
+def cover_tree(points, leaf: int = LEAF) -> Node:
     """Tree over the rows of a matrix, built from the top; ``rows`` of a leaf are its points.
 
-    A node stays a leaf if it is small, if all its points are equal, or if covering
-    it at half its radius takes more than an eighth of its points as centres: then
-    the scale below tells nothing that the points themselves do not.
+    A node is split unless it is small or all its points are equal.
     """
     import numpy as np
 
@@ -45,18 +45,16 @@ def cover_tree(points) -> Node:
 
     def grow(rows, at: int, away) -> Node:
         radius = float(away.max())
-        if len(rows) <= LEAF or radius == 0:
+        if len(rows) <= leaf or radius == 0 or (points[rows] == points[at]).all():
             return Node(points[at], radius, rows, None)
-        half, left, parts = radius / 2, rows, []
+        cover, left, parts = radius / BASE, rows, []
         centre, dist = at, away
         while True:
-            near = dist <= half
+            near = dist <= cover
             parts.append((left[near], centre, dist[near]))
             left = left[~near]
             if not len(left):
                 break
-            if len(parts) > max(8, len(rows) // 8):
-                return Node(points[at], radius, rows, None)
             centre = int(left[0])
             dist = far(left, centre)
         return Node(points[at], radius, None, [grow(*p) for p in parts])
@@ -66,22 +64,30 @@ def cover_tree(points) -> Node:
 
 
 def search(queries, query_ids, points, point_ids, k: int):
-    """``query row, point id, score`` of each query's k best in the block, ties to smaller ids, own id left out.
+    """``query row, point id, score`` of each query's k best in the block, and the number of pairs multiplied.
 
-    Whole numbers below 2**53 in sum are exact in floating point; larger ones are
-    multiplied as Python integers.
+    Ties go to smaller ids, a query's own id is left out. ``queries`` and ``points`` hold longs.
+    Sums below 2**53 are exact in floating point; larger ones are multiplied as Python
+    integers, and scores outside the range of a long are held at its ends.
     """
     import numpy as np
 
-    exact = np.abs(queries).max(initial=0) * np.abs(points).max(initial=0) * max(1, points.shape[1]) < 2**53
+    floats, others_floats = queries.astype(np.float64), points.astype(np.float64)
+    exact = np.abs(floats).max(initial=0) * np.abs(others_floats).max(initial=0) * max(1, points.shape[1]) < 2**53
     best: list[list[tuple[int, int]]] = [[] for _ in range(len(queries))]  # (-score, id), sorted
-    worst = np.full(len(queries), -np.inf)
+    worst = np.full(len(queries), -np.inf, np.float64 if exact else object)
+    multiplied = 0
 
-    def multiply(a, b):
-        return a @ b.T if exact else a.astype(object) @ b.T.astype(object)
+    def multiply(rows, others):
+        if exact:
+            return floats[rows] @ others_floats[others].T
+        score = queries[rows].astype(object) @ points[others].T.astype(object)
+        return np.minimum(np.maximum(score, LOWEST), HIGHEST)
 
     def visit(rows, others) -> None:
-        score = multiply(queries[rows], points[others])
+        nonlocal multiplied
+        multiplied += len(rows) * len(others)
+        score = multiply(rows, others)
         ids = point_ids[others]
         for i in np.flatnonzero((score >= worst[rows][:, None]).any(axis=1)):
             q = rows[i]
@@ -100,9 +106,10 @@ def search(queries, query_ids, points, point_ids, k: int):
 
     def bound(a: Node, b: Node) -> float:
         most = float(a.centre @ b.centre) + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
-        return most + 1e-9 * (abs(most) + a.norm * b.norm) + 1e-6
+        # distances are rounded to about the root of the precision times the longest vector of the node
+        return most + 1e-6 * (a.norm + a.radius) * (b.norm + b.radius) + 1e-6
 
-    left, right = cover_tree(queries), cover_tree(points)
+    left, right = cover_tree(floats, QUERY_LEAF), cover_tree(others_floats, LEAF)
     members = {}
     queue, turn = [(-bound(left, right), 0, left, right)], 1
     while queue:
@@ -120,13 +127,13 @@ def search(queries, query_ids, points, point_ids, k: int):
             pair = (child, b) if split_left else (a, child)
             heapq.heappush(queue, (-bound(*pair), turn, *pair))
             turn += 1
-    return [(q, i, -s) for q, found in enumerate(best) for s, i in found]
+    return [(q, i, -s) for q, found in enumerate(best) for s, i in found], multiplied
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each id divisible by ``every`` the k highest scores among all other rows.
 
-    Components become floor(scale * x). Vectors that are null or hold null or
+    Components become floor(scale * x), held within the range of a long as scores are. Vectors that are null or hold null or
     non-finite components, and rows without id, take no part; only vectors of equal
     length are compared. Repeated rows are candidates each, and one query. Fewer than
     k candidates: all of them.
@@ -155,12 +162,13 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024
         def matrix(t: pa.Table):
             flat = t.column("v").combine_chunks()
             width = t.column("length")[0].as_py()
-            return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(t.num_rows, width)
+            return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.int64).reshape(t.num_rows, width)
 
         found = []
         if left.num_rows and right.num_rows:
             ids, hashed = left.column("vec_id").to_numpy(), left.column("mark").to_numpy()
-            found = [(int(ids[q]), int(hashed[q]), i, int(s)) for q, i, s in search(matrix(left), ids, matrix(right), right.column("vec_id").to_numpy(), k)]
+            best, _ = search(matrix(left), ids, matrix(right), right.column("vec_id").to_numpy(), k)
+            found = [(int(ids[q]), int(hashed[q]), i, int(s)) for q, i, s in best]
         columns = list(zip(*found)) or [[], [], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "mark", "vec_id", "score"])
 
