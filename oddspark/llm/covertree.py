@@ -3,15 +3,13 @@
 Vectors are dealt into blocks at random and queries into groups; every (group, block)
 is one small task. There both sides are indexed by cover trees: a node has a centre
 and the radius that covers its points, and its children are centres that are further
-apart than the radius over ``BASE`` and cover it at that. Pairs of nodes are visited best
-first; a pair goes if the inner product of the centres plus what the radii can add is
-below the worst kth score of the queries in the group node.
+apart than the radius over ``BASE`` and cover it at that. The query tree is descended with
+the data nodes that are still open for its node; a pair goes if the inner product of the
+centres plus what the radii can add is below the worst kth score of the queries in the node.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +17,9 @@ from pyspark.sql import functions as F
 #: Vectors of a block and queries of a group.
 BLOCK, GROUP = 4096, 2048
 #: How much smaller a child's radius is, and the vectors and queries that are compared without a tree.
-BASE, LEAF, QUERY_LEAF = 1.3, 16, 4
+BASE, LEAF, QUERY_LEAF = 1.3, 32, 4
+#: Points that are multiplied at a time.
+CHUNK = 512
 LOWEST, HIGHEST = -(2**63), 2**63 - 1
 
 
@@ -34,7 +34,8 @@ class Node:
 def cover_tree(points, leaf: int = LEAF) -> Node:
     """Tree over the rows of a matrix, built from the top; ``rows`` of a leaf are its points.
 
-    A node is split unless it is small or all its points are equal.
+    A node is split unless it is small or all its points are equal. Children of one
+    point each are one leaf around the centre of their parent.
     """
     import numpy as np
 
@@ -47,17 +48,24 @@ def cover_tree(points, leaf: int = LEAF) -> Node:
         radius = float(away.max())
         if len(rows) <= leaf or radius == 0 or (points[rows] == points[at]).all():
             return Node(points[at], radius, rows, None)
-        cover, left, parts = radius / BASE, rows, []
+        cover, left, parts, single = radius / BASE, np.arange(len(rows)), [], []
         centre, dist = at, away
         while True:
             near = dist <= cover
-            parts.append((left[near], centre, dist[near]))
+            if near.sum() > 1:
+                parts.append((rows[left[near]], centre, dist[near]))
+            else:
+                single.append(left[near])
             left = left[~near]
             if not len(left):
                 break
-            centre = int(left[0])
-            dist = far(left, centre)
-        return Node(points[at], radius, None, [grow(*p) for p in parts])
+            centre = int(rows[left[0]])
+            dist = far(rows[left], centre)
+        children = [grow(*p) for p in parts]
+        if single:
+            alone = np.concatenate(single)
+            children.append(Node(points[at], float(away[alone].max()), rows[alone], None))
+        return children[0] if len(children) == 1 else Node(points[at], radius, None, children)
 
     everything = np.arange(len(points))
     return grow(everything, 0, far(everything, 0))
@@ -99,34 +107,61 @@ def search(queries, query_ids, points, point_ids, k: int):
             merged.sort()
             best[q] = merged[:k]
             if len(best[q]) == k:
-                worst[q] = -best[q][-1][0]
-
-    def leaves(node: Node):
-        return node.rows if node.children is None else np.concatenate([leaves(c) for c in node.children])
-
-    def bound(a: Node, b: Node) -> float:
-        most = float(a.centre @ b.centre) + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
-        # distances are rounded to about the root of the precision times the longest vector of the node
-        return most + 1e-6 * (a.norm + a.radius) * (b.norm + b.radius) + 1e-6
+                worst[q] = max(worst[q], -best[q][-1][0])
 
     left, right = cover_tree(floats, QUERY_LEAF), cover_tree(others_floats, LEAF)
-    members = {}
-    queue, turn = [(-bound(left, right), 0, left, right)], 1
-    while queue:
-        most, _, a, b = heapq.heappop(queue)
-        if id(a) not in members:
-            members[id(a)] = leaves(a)
-        rows = members[id(a)]
-        if -most < worst[rows].min():
-            continue
-        if a.children is None and b.children is None:
-            visit(rows, b.rows)
-            continue
-        split_left = b.children is None or (a.children is not None and a.radius > b.radius)
-        for child in a.children if split_left else b.children:
-            pair = (child, b) if split_left else (a, child)
-            heapq.heappush(queue, (-bound(*pair), turn, *pair))
-            turn += 1
+    nodes, kids = [right], []
+    for node in nodes:
+        kids.append(np.arange(len(nodes), len(nodes) + len(node.children or [])))
+        nodes.extend(node.children or [])
+    centres, radii = np.array([n.centre for n in nodes]), np.array([n.radius for n in nodes])
+    norms, inner = np.array([n.norm for n in nodes]), np.array([n.children is not None for n in nodes])
+
+    def bounds(a: Node, at):
+        most = centres[at] @ a.centre + a.norm * radii[at] + norms[at] * a.radius + a.radius * radii[at]
+        # distances are rounded to about the root of the precision times the longest vector of the node
+        slack = 1e-6 * (a.norm + a.radius) * (norms[at] + radii[at]) + 1e-6
+        return np.maximum(most + slack, float(LOWEST))
+
+    def seed(a: Node, leaves) -> None:
+        """A first worst kth score of each query from the leaves with the likeliest centres."""
+        order = leaves[np.argsort(-(centres[leaves] @ a.centre), kind="stable")]
+        near = np.concatenate([nodes[i].rows for i in order[: 4 * k]])[: 8 * k]
+        score = np.where(point_ids[near] == query_ids[a.rows][:, None], -np.inf, multiply(a.rows, near))
+        if score.shape[1] >= k:
+            worst[a.rows] = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+
+    def below(node: Node):
+        return [node] if node.children is None else [leaf for c in node.children for leaf in below(c)]
+
+    def descend(a: Node, at) -> None:
+        group = below(a)
+        low = worst[np.concatenate([n.rows for n in group])].min()
+        while True:
+            most = bounds(a, at)
+            at, most = at[most >= low], most[most >= low]
+            wide = inner[at] & ((radii[at] > a.radius) | (a.children is None))
+            if not wide.any():
+                break
+            at = np.concatenate([at[~wide], *(kids[i] for i in at[wide])])
+        for child in a.children or []:
+            descend(child, at)
+        if a.children is None:
+            order = np.argsort(-most, kind="stable")
+            held, size = [], 0
+            for i in order:
+                if not held and most[i] < worst[a.rows].min():
+                    return
+                held.append(nodes[at[i]].rows)
+                size += len(held[-1])
+                if size >= CHUNK or i == order[-1]:
+                    visit(a.rows, np.concatenate(held))
+                    held, size = [], 0
+
+    if exact:
+        for leaf in below(left):
+            seed(leaf, np.flatnonzero(~inner))
+    descend(left, np.array([0]))
     return [(q, i, -s) for q, found in enumerate(best) for s, i in found], multiplied
 
 

@@ -28,19 +28,23 @@ def test_clustered_vectors_are_pruned():
 
 
 @pytest.mark.parametrize("spread", [1, 1000])
-def test_every_large_node_is_split(spread):
-    points = np.floor(np.random.default_rng(3).normal(size=(1500, 64)) * spread).astype(np.float64)
+def test_leaves_are_small_or_hold_points_far_apart(spread):
+    points = np.floor(np.random.default_rng(3).normal(size=(1500, 12)) * spread).astype(np.float64)
     seen = []
 
     def walk(node):
+        distance = lambda rows: np.sqrt(((points[rows] - node.centre) ** 2).sum(axis=1))
         if node.children is None:
-            assert len(node.rows) <= covertree.LEAF
+            assert distance(node.rows).max() <= node.radius + 1e-6
+            if len(node.rows) > covertree.LEAF:
+                apart = np.sqrt(((points[node.rows][:, None] - points[node.rows][None]) ** 2).sum(axis=2))
+                assert apart[~np.eye(len(apart), dtype=bool)].min() > node.radius / covertree.BASE - 1e-6
             seen.extend(node.rows.tolist())
-        else:
-            assert len(node.children) > 1
-            for child in node.children:
-                assert child.radius <= node.radius / covertree.BASE + 1e-6
-                walk(child)
+            return node.rows
+        assert len(node.children) > 1
+        rows = np.concatenate([walk(child) for child in node.children])
+        assert distance(rows).max() <= node.radius + 1e-6
+        return rows
 
     root = covertree.cover_tree(points)
     walk(root)
