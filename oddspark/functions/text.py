@@ -111,7 +111,7 @@ def clip(quote: Column, limit: int = K.QUOTE_LIMIT) -> Column:
 
 def reaction_key(term: Column) -> Column:
     """Comparison key: case folded, without caret and apostrophe."""
-    return F.translate(F.upper(F.trim(term)), "^'", "")
+    return F.translate(F.upper(F.trim(term)), "^'\u2019", "")
 
 
 def display_term(term: Column) -> Column:

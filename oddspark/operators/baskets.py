@@ -20,12 +20,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Spellings of the apostrophe that one reaction may come in.
+APOSTROPHES = "'\u2019"
+
+
 def canonical_reaction(term: Column) -> Column:
-    """Upper case, trimmed, empty as NULL; a caret in possessives is kept as stored."""
-    folded = F.upper(F.trim(term))
+    """Upper case, trimmed, empty as NULL; possessives have a caret, as they are stored, for any apostrophe."""
+    folded = F.translate(F.upper(F.trim(term)), APOSTROPHES, "^" * len(APOSTROPHES))
     return F.when(folded != "", folded)
 
 
+def reaction_name(term: str) -> str:
+    """A name asked for in the spelling of ``canonical_reaction``."""
+    return term.strip(" ").upper().translate(dict.fromkeys(map(ord, APOSTROPHES), "^"))
+
+
 def from_rows(
     rows: DataFrame,
     drug_col: str = "drug",

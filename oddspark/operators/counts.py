@@ -107,14 +107,15 @@ def contingency(
     cells = counts
     for name, wanted in (("drug", drug_filter), ("reaction_pt", reaction_filter)):
         if wanted is not None:
-            cells = cells.where(F.col(name).isin([wanted] if isinstance(wanted, str) else list(wanted)))
+            values = [wanted] if isinstance(wanted, str) else list(wanted)
+            cells = cells.where(F.col(name).isin([B.reaction_name(v) for v in values] if name == "reaction_pt" else values))
     return tables(cells, drug_margin(counts), reaction_margin(counts), universe(counts))
 
 
 def contingency_one(baskets: DataFrame, drug: str, reaction: str) -> DataFrame:
     """One ad-hoc pair from a single conditional aggregate; b, c, d never negative."""
     has_drug = F.array_contains("drugs", drug)
-    has_reaction = F.array_contains("reactions", reaction.upper())
+    has_reaction = F.array_contains("reactions", B.reaction_name(reaction))
     row = baskets.agg(
         F.count_if(has_drug & has_reaction).alias("a"),
         F.count_if(has_drug).alias("ab"),
@@ -125,7 +126,7 @@ def contingency_one(baskets: DataFrame, drug: str, reaction: str) -> DataFrame:
     return (
         row.withColumns({"b": F.greatest(F.col("ab") - F.col("a"), zero), "c": F.greatest(F.col("ac") - F.col("a"), zero)})
         .withColumn("d", F.greatest(F.col("N") - F.col("a") - F.col("b") - F.col("c"), zero))
-        .select(F.lit(drug).alias("drug"), F.lit(reaction.upper()).alias("reaction_pt"), "a", "b", "c", "d", "N")
+        .select(F.lit(drug).alias("drug"), F.lit(B.reaction_name(reaction)).alias("reaction_pt"), "a", "b", "c", "d", "N")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from oddspark import constants as K
 from oddspark.functions import display as D
 from oddspark.functions import text as X
+from oddspark.operators.baskets import reaction_name
 from oddspark.operators.counts import top_per_group
 
 STRONG = ("strong",)
@@ -136,6 +137,7 @@ def shared_reactions(scored: DataFrame, drugs: list[str], tiers: tuple = STRONG,
 
 def worksheet_grid(spark: SparkSession, scored: DataFrame, medicines: list[str], symptoms: list[str]) -> DataFrame:
     """Every symptom against every medicine in entry order; cells without a pair are kept."""
+    symptoms = [reaction_name(s) for s in symptoms]
     listed = lambda names: F.array(*[F.lit(n) for n in names])
     grid = (
         spark.range(1)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from oddspark.constants import HARM_SECTIONS, INTERACTION_SECTIONS
 from oddspark.functions.text import haystack
+from oddspark.operators.baskets import canonical_reaction
 from oddspark.operators.facts import original_approval
 
 _S = T.StringType()
@@ -40,7 +41,7 @@ SHORTAGE = _struct(status=_S, generic_name=_S, presentation=_S, initial_posting_
 def term_list(spark: SparkSession, path: str) -> DataFrame:
     """``reaction_pt`` from a commented one-term-per-line file, upper-cased."""
     line = F.trim("value")
-    return spark.read.text(path).where((line != "") & ~F.startswith(line, F.lit("#"))).select(F.upper(line).alias("reaction_pt")).distinct()
+    return spark.read.text(path).where((line != "") & ~F.startswith(line, F.lit("#"))).select(canonical_reaction(F.col("value")).alias("reaction_pt")).distinct()
 
 
 def targets(spark: SparkSession, path: str) -> DataFrame:

@@ -40,6 +40,19 @@ def test_nested_reports(spark, tmp_path):
     assert scoring.score(reports.class_baskets(raw)).count() == 3
 
 
+def test_possessives_are_one_reaction(spark, tmp_path):
+    spelt = ["Fournier^s gangrene", "FOURNIER'S GANGRENE", " fournier\u2019s gangrene "]
+    docs = [_report(str(i), "20200105", [("Aspirin", "NSAID", "1")], [t, t.upper()]) for i, t in enumerate(spelt)] + [_report("9", "20200105", [("Statinol", "Statin", "1")], ["Rash"])]
+    (tmp_path / "r.json").write_text("\n".join(map(json.dumps, docs)))
+    baskets = reports.class_baskets(reports.read_reports(spark, str(tmp_path / "r.json")))
+    assert {tuple(r["reactions"]) for r in baskets.collect()} == {("FOURNIER^S GANGRENE",), ("RASH",)}
+    for asked in spelt:
+        assert [r["a"] for r in scoring.score(baskets, reaction_filter=asked).collect()] == [3]
+        assert [(r["a"], r["reaction_pt"]) for r in scoring.score_one(baskets, "NSAID", asked).collect()] == [(3, "FOURNIER^S GANGRENE")]
+    (tmp_path / "stop.txt").write_text("\n".join(spelt))
+    assert [r[0] for r in files.term_list(spark, str(tmp_path / "stop.txt")).collect()] == ["FOURNIER^S GANGRENE"]
+
+
 def test_configuration_files(spark, tmp_path):
     (tmp_path / "stop.txt").write_text("# note\ndrug ineffective\n\n Extra Dose \n")
     assert sorted(r[0] for r in files.term_list(spark, str(tmp_path / "stop.txt")).collect()) == ["DRUG INEFFECTIVE", "EXTRA DOSE"]
