@@ -146,3 +146,34 @@ def test_substring_matches_are_those_of_all_pairs(spark, n):
     words, needles = {text(r.randint(0, 9)) for _ in range(n)}, {text(r.randint(0, 5)) for _ in range(n // 4)}
     got = substring_matches(spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame([(x,) for x in words], "word string"))
     assert {(x.needle, x.word) for x in got.collect()} == {(a, b) for a in needles if a for b in words if a in b}
+
+
+def test_label_look_up_reads_few_documents(spark, monkeypatch):
+    """Boxed sections that are part of their texts, as they are in harm_text; each pair against each document, and how many of them are read."""
+    r = random.Random(4)
+    syllables = ["ra", "ment", "tion", "t", "de", "pain", "in", "é", "head", "with", "s", "x"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 3)))
+    body = lambda n: " ".join(word() for _ in range(n))
+    texts = [(f"d{i % 2}", body(r.randint(0, 2)), body(r.randint(0, 40))) for i in range(150)]
+    docs = spark.createDataFrame([(d, f"{b} {t}", b, True) for d, b, t in texts], "drug string, text string, boxed string, found boolean")
+    docs = docs.withColumns({c: X.norm(F.col(c)) for c in ("text", "boxed")})
+    terms = sorted({body(r.randint(1, 3)).upper() for _ in range(150)} | {"É", "ÉT", "IN DE", "T IN S", "WITH É", "IN WITH É", "X" * 30})
+    pairs = spark.createDataFrame([(f"d{d}", t) for d in (0, 1) for t in terms], "drug string, reaction_pt string")
+    hit, boxed = X.label_hits(F.col("reaction_pt"), F.col("text"), F.col("boxed"))
+    want = pairs.join(docs, "drug").groupBy("drug", "reaction_pt").agg(F.lit(True).alias("label_found"), F.bool_or(hit).alias("labelled"), F.bool_or(boxed).alias("boxed_warning"))
+    plain, read = X.label_hits, spark.sparkContext.accumulator(0)
+
+    def counted(term, text, box):
+        def look(t):
+            read.add(1)
+            return True
+
+        labelled, in_box = plain(term, text, box)
+        return labelled & F.udf(look, "boolean")(text), in_box
+
+    monkeypatch.setattr(L.X, "label_hits", counted)
+    got = L.attach_expectedness(pairs, docs)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(got) == rows(want)
+    assert got.where("labelled").count() > 100 and got.where("boxed_warning").count() > 50
+    assert read.value < pairs.join(docs, "drug").count() / 10
