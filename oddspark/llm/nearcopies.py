@@ -1,12 +1,16 @@
-"""Near copies: sets of word shingles joined by prefixes, checked by exact Jaccard similarity.
-
-Two sets whose similarity is at least 4/5 have an element in common among the first
-``n - ceil(4n/5) + 1`` of each, in any order that is the same for all sets (prefix
-filter). So every set is filed under those elements, shingles that are common in a
-sample last, and no similar pair is lost. Where two sets meet under an element, what
-follows it in either must suffice for the overlap they need (positional filter). Only
-sets that still have a partner are made again, to be compared in full; equality of
-shingles is by 64-bit hash.
+"""Near copies: SimHash links and sets of word shingles joined by prefixes, checked by exact Jaccard similarity.
+
+Fingerprints of the sets are linked by the pigeonring search of ``simhash``; this
+finds copies with few changes, however many there are, without meeting in pairs.
+What differs in more bits is found by prefixes. Two sets whose similarity is at least
+4/5 have an element in common among the first ``n - ceil(4n/5) + 1`` of each, in any
+order that is the same for all sets (prefix filter). So every set is filed under
+those elements, shingles that are common in a sample last, and no similar pair is
+lost. Where two sets meet under an element, what follows it in either must suffice
+for the overlap they need (positional filter). Each file first links its members to
+the one that has its element furthest to the front, which has the fewest shingles of
+its own; then only members that are not connected yet meet. Every link is compared in
+full, for which the sets are made again; equality of shingles is by 64-bit hash.
 """
 
 from __future__ import annotations
@@ -19,12 +23,16 @@ from pyspark.sql import functions as F
 
 from oddspark.llm.common import discard, in_sketch, not_in_sketch, publish, sketch_of, text_of
 from oddspark.llm.components import components
+from oddspark.llm.simhash import links as simhash_links
+from oddspark.llm.simhash import majority
 
 #: Similarity as a fraction, lest rounding decide.
 NUMERATOR, DENOMINATOR = 4, 5
 SHINGLE = 5
-#: Members up to which a file gives all its pairs at once; larger ones are first linked to one member.
-SMALL_FILE = 64
+#: Members up to which a file is compared in one task; larger ones are cut into blocks, every two of which meet.
+SMALL_FILE = 4096
+#: Members up to which files are compared by shifting their sorted rows against themselves.
+SHORT_FILE = 64
 #: Documents whose sets leave Python at once: sets are twice as large as texts.
 HELD_ROWS = 256
 #: Documents in which common shingles are looked for, and how many of them make one common; this only orders the prefixes.
@@ -89,7 +97,7 @@ def _common(docs: DataFrame, shingle: int):
 
 
 def signed(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, ref, node, size, keys``: a hash of id and text, the hash of the set, its size, and the prefix, in order, under which it is filed."""
+    """``doc_id, ref, node, size, fp, keys``: a hash of id and text, the hash of the set, its size, its SimHash, and the prefix, in order, under which it is filed."""
     import numpy as np
 
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
@@ -99,10 +107,10 @@ def signed(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
         cut, common = Shingles(shingle), shared.value
         for batch in batches:
-            node, size, keys = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), []
+            node, fp, size, keys = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), []
             for i, text in enumerate(batch.column(1)):
                 held = cut.of(text.as_py())
-                node[i], size[i] = xxh(held.tobytes(), 42), len(held)
+                node[i], size[i], fp[i] = xxh(held.tobytes(), 42), len(held), majority(held)
                 first = len(held) - -(-NUMERATOR * len(held) // DENOMINATOR) + 1 if len(held) else 0
                 if len(common) and len(held):
                     at = np.searchsorted(common, held).clip(max=len(common) - 1)
@@ -112,102 +120,121 @@ def signed(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(ends), flat)
-            columns = [batch.column(0), batch.column(2), pa.array(node.view(np.int64)), pa.array(size), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ref", "node", "size", "keys"])
+            columns = [batch.column(0), batch.column(2), pa.array(node.view(np.int64)), pa.array(size), pa.array(fp.view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ref", "node", "size", "fp", "keys"])
 
-    return _named(docs).mapInArrow(sign, "doc_id long, ref long, node long, size long, keys array<bigint>")
+    return _named(docs).mapInArrow(sign, "doc_id long, ref long, node long, size long, fp long, keys array<bigint>")
 
 
-def _paired(filed: DataFrame) -> DataFrame:
-    """``a, b, key`` from ``key, node, size, part, at`` (where in the prefix): all pairs of a small file; of a large one each member with the first (``key`` set)
-    unless ``part`` tells them apart, then the pairs of different parts."""
+def _simhash_pairs(prints: DataFrame) -> DataFrame:
+    """``a, b`` from ``node, fp``: nodes whose fingerprints are equal or linked by pigeonring."""
+    heads = publish(prints.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    equal = prints.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    found = publish(simhash_links(heads.select("fp")).distinct(), "simhash")
+    head = lambda name: heads.select(F.col("fp").alias(f"_{name}"), F.col("head").alias(name))
+    near = found.select(F.col("a").alias("_a"), F.col("b").alias("_b")).join(head("a"), "_a").join(head("b"), "_b").select("a", "b")
+    return equal.unionByName(near)
+
+
+def _fits(x, y, i, j):
+    """Sizes may be similar enough, and what stands from here on in both suffices for the overlap."""
+    import numpy as np
+
+    left = np.minimum(x - i, y - j)
+    return (NUMERATOR * np.maximum(x, y) <= DENOMINATOR * np.minimum(x, y)) & ((NUMERATOR + DENOMINATOR) * left >= NUMERATOR * (x + y))
+
+
+def _met(filed: DataFrame) -> DataFrame:
+    """``key, node, size, at, first`` of the files ``key, node, size, at`` (where in the prefix) that have several members.
+
+    ``first`` is the member that has the key furthest to the front, where it may be similar enough.
+    """
     import numpy as np
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def fits(x, y, i, j):
-            """Sizes may be similar enough, and what stands from here on in both suffices for the overlap."""
-            left = np.minimum(x - i, y - j)
-            return (NUMERATOR * np.maximum(x, y) <= DENOMINATOR * np.minimum(x, y)) & ((NUMERATOR + DENOMINATOR) * left >= NUMERATOR * (x + y))
-
-        def solve(key, node, size, part, at):
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            count = np.diff(np.concatenate((first, [len(key)])))
-            group, a, b, k = np.repeat(np.arange(len(first)), count), [], [], []
-            whole = np.repeat((count <= SMALL_FILE) & (part[first] == 0), count)
-            short = np.flatnonzero(whole)
-            for shift in range(1, min(SMALL_FILE, int(count.max(initial=1)))):
+        head, told = np.zeros((4, 0), np.int64), False  # first row of the file that is open, and whether it has been given
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate((head, [batch.column(i).to_numpy().astype(np.int64) for i in range(4)]), axis=1)
+            key, node, size, at = rows
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            count = np.diff(np.concatenate((start, [len(key)])))
+            first, keep = np.repeat(start, count), np.repeat(count > 1, count)
+            if told:
+                keep[0] = False
+            near = (first != np.arange(len(key))) & _fits(size, size[first], at, at[first])
+            columns = [pa.array(v[keep]) for v in rows] + [pa.array(node[first][keep], mask=~near[keep])]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "node", "size", "at", "first"])
+            head, told = rows[:, start[-1] : start[-1] + 1], bool(count[-1] > 1)
+
+    ordered = filed.repartition("key").sortWithinPartitions("key", "at", "node")
+    return ordered.mapInArrow(meet, "key long, node long, size long, at long, first long")
+
+
+def _crossed(parted: DataFrame) -> DataFrame:
+    """``a, b`` from files ``key, node, size, at, part``: members of different parts that may be similar enough."""
+    import numpy as np
+
+    mixed = parted.groupBy("key").agg(F.min("part").alias("_p"), F.max("part").alias("_q"), F.count(F.lit(1)).alias("_n")).where("_p <> _q")
+    mixed = mixed.select("key", F.ceil(F.col("_n") / SMALL_FILE).cast("long").alias("_blocks"))
+    dealt = parted.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), "_blocks"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    place = ["key", "low", "high"]
+    dealt = dealt.select("key", F.least("own", "_other").alias("low"), F.greatest("own", "_other").alias("high"), "own", "node", "size", "at", "part")
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(a, b):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b)], ["a", "b"])
+
+        def solve(rows):
+            key, low, high, own, node, size, at, part = rows
+            start = np.flatnonzero(np.concatenate(([True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0))))
+            count = np.diff(np.concatenate((start, [len(key)])))
+            group, a, b = np.repeat(np.arange(len(start)), count), [], []
+            short = np.flatnonzero(np.repeat(count <= SHORT_FILE, count))
+            meant = lambda i, j: (part[i] != part[j]) & ((low[i] == high[i]) | (own[i] != own[j])) & _fits(size[i], size[j], at[i], at[j])
+            for shift in range(1, int(count[count <= SHORT_FILE].max(initial=1))):
                 left = short[short + shift < len(key)]
                 left = left[group[left] == group[left + shift]]
-                left = left[fits(size[left], size[left + shift], at[left], at[left + shift])]
+                left = left[meant(left, left + shift)]
                 a.append(node[left])
                 b.append(node[left + shift])
-                k.append(np.zeros(len(left), np.int64))
-            for g in np.flatnonzero((count > SMALL_FILE) | (part[first] != 0)):
-                mine = slice(first[g], first[g] + count[g])
-                if part[first[g]] == 0:
-                    a.append(np.full(count[g], node[first[g]]))
-                    b.append(node[mine])
-                    k.append(np.full(count[g], key[first[g]]))
-                    continue
-                for i in range(mine.start, mine.stop - 1):
-                    other = np.arange(i + 1, mine.stop)
-                    other = other[(part[other] != part[i]) & fits(size[other], size[i], at[other], at[i])]
+            for g in np.flatnonzero(count > SHORT_FILE):
+                for i in range(start[g], start[g] + count[g] - 1):
+                    other = np.arange(i + 1, start[g] + count[g])
+                    other = other[meant(i, other)]
                     a.append(np.full(len(other), node[i]))
                     b.append(node[other])
-                    k.append(np.zeros(len(other), np.int64))
                     if sum(map(len, a[-64:])) > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b, k)], ["a", "b", "key"])
-                        a, b, k = [], [], []
+                        yield given(a, b)
+                        a, b = [], []
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b, k)], ["a", "b", "key"])
+                yield given(a, b)
 
-        kept = np.zeros((5, 0), np.int64)
+        kept = np.zeros((8, 0), np.int64)
         for batch in batches:
-            kept = np.concatenate((kept, [batch.column(i).to_numpy().astype(np.int64) for i in range(5)]), axis=1)
+            kept = np.concatenate((kept, [batch.column(i).to_numpy().astype(np.int64) for i in range(8)]), axis=1)
             if kept.shape[1]:
-                open_from = int(np.flatnonzero(kept[0] != kept[0, -1]).max(initial=-1)) + 1
+                open_from = int(np.flatnonzero((kept[:3] != kept[:3, -1:]).any(axis=0)).max(initial=-1)) + 1
                 if open_from:
-                    yield from solve(*kept[:, :open_from])
+                    yield from solve(kept[:, :open_from])
                 kept = kept[:, open_from:]
         if kept.shape[1]:
-            yield from solve(*kept)
+            yield from solve(kept)
 
-    return filed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "a long, b long, key long")
+    return dealt.repartition(*place).sortWithinPartitions(*place, "node").mapInArrow(cross, "a long, b long")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar enough, compared in full."""
-    left = sets.select(F.col("node").alias("a"), F.col("held").alias("_x"))
-    right = sets.select(F.col("node").alias("b"), F.col("held").alias("_y"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("_x", "_y")).cast("long")
-    union: Column = F.size("_x") + F.size("_y") - shared
-    return both.where(DENOMINATOR * shared >= NUMERATOR * union).select("a", "b")
+def _told(pairs: DataFrame) -> DataFrame:
+    return publish(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, ref, node, component_id, root`` for every row: components of the documents with Jaccard similarity 0.8 or more.
-
-    Null texts count as empty; all texts without words are copies of one another.
-    ``component_id`` is the smallest non-null id that can be reached, ``root`` names the
-    component where ids repeat, ``ref`` the row's id and text; repeated rows stay.
-    """
+def _similar(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int) -> DataFrame:
+    """The published ``pairs`` whose sets are similar enough, compared in full; removes ``pairs``. ``distinct`` has a ``ref`` of each node."""
     import numpy as np
 
-    filled = publish(signed(docs, shingle), "signed")
-    rows = publish(filled.select("doc_id", "ref", "node", "size"), "rows")
-    distinct = publish(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("ref").alias("ref"), F.first("size").alias("size")), "distinct")
-    each = publish(filled.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys")), "prefixes")
-    discard(filled)
-    filed = each.select(F.posexplode("keys").alias("at", "key"), "node", "size")
-    part = lambda df: df.select("key", "node", "size", "part", F.col("at").cast("long").alias("at"))
-    met = publish(_paired(part(filed.withColumn("part", F.lit(0).cast("long")))).where("a <> b or key <> 0").distinct(), "met")
-    pairs = publish(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    # large files hold other pairs than those with the first member
-    large = met.where("key <> 0").select("key", F.col("b").alias("node")).distinct()
-    wanted = publish(
-        pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct().join(distinct.select("node", "ref"), "node"), "wanted"
-    )
+    wanted = publish(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "ref"), "node"), "wanted")
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as xxh
@@ -225,18 +252,40 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     chosen = in_sketch(named, sketch_of(wanted.select(F.col("ref").alias("h")))).select("text")
     sets = chosen.mapInArrow(hold, "node long, held array<bigint>").join(wanted.select("node").hint("merge"), "node", "left_semi")
     sets = publish(sets.groupBy("node").agg(F.first("held").alias("held")), "sets")
-    links = publish(_similar(pairs, sets), "similar")
-    discard(pairs)
-    # the members of a large file that are of one component need no pair of theirs
+    left = sets.select(F.col("node").alias("a"), F.col("held").alias("_x"))
+    right = sets.select(F.col("node").alias("b"), F.col("held").alias("_y"))
+    both = pairs.join(left, "a").join(right, "b")
+    shared = F.size(F.array_intersect("_x", "_y")).cast("long")
+    union: Column = F.size("_x") + F.size("_y") - shared
+    found = publish(both.where(DENOMINATOR * shared >= NUMERATOR * union).select("a", "b"), "similar")
+    discard(sets, wanted, pairs)
+    return found
+
+
+def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id, ref, node, component_id, root`` for every row: components of the documents with Jaccard similarity 0.8 or more.
+
+    Null texts count as empty; all texts without words are copies of one another.
+    ``component_id`` is the smallest non-null id that can be reached, ``root`` names the
+    component where ids repeat, ``ref`` the row's id and text; repeated rows stay.
+    """
+    filled = publish(signed(docs, shingle), "signed")
+    rows = publish(filled.select("doc_id", "ref", "node"), "rows")
+    distinct = publish(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("ref").alias("ref")), "distinct")
+    each = publish(filled.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "prefixes")
+    discard(filled)
+    filed = each.select(F.posexplode("keys").alias("at", "key"), "node", "size")
+    met = publish(_met(filed.select("key", "node", "size", F.col("at").cast("long").alias("at"))), "met")
+    near = _simhash_pairs(each.select("node", "fp"))
+    pairs = _told(near.unionByName(met.where("first is not null").select(F.col("first").alias("a"), F.col("node").alias("b"))))
+    discard(each)
+    links = _similar(pairs, docs, distinct, shingle)
     root = components(links)
-    places = filed.join(large.select("key").distinct(), "key", "left_semi").select("key", "node", "size", "at")
-    parted = publish(part(places.join(root, "node", "left").withColumn("part", F.coalesce("root", "node"))), "parted")
-    discard(each, met)
-    mixed = parted.groupBy("key").agg(F.min("part").alias("_p"), F.max("part").alias("_q")).where("_p <> _q").select("key")
-    rest = _paired(parted.join(mixed, "key", "left_semi").select(*parted.columns))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = publish(links.unionByName(_similar(rest, sets)), "similar")
-    discard(sets, parted, links)
+    # members that are connected need no pair of theirs
+    parted = publish(met.join(root, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("part")), "parted")
+    discard(met)
+    more = publish(links.unionByName(_similar(_told(_crossed(parted)), docs, distinct, shingle)), "similar")
+    discard(parted, links)
     root = components(more)
     joined = publish(distinct.join(root, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))

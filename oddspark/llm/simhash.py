@@ -27,6 +27,17 @@ FILE_BLOCK = 4096
 SMALL_FILE = 64
 
 
+def majority(hashes):
+    """The bits that are set in over half of the 64-bit hashes; 0 if there are none."""
+    import numpy as np
+
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
+        votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = SEED) -> DataFrame:
     """``doc_id, fp``: the majority bits of the XXH64 of all word shingles, repeats included.
 
@@ -52,11 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = SEED) -> DataFra
                 hashes = np.fromiter(
                     (xxh(line[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())), np.uint64, len(starts)
                 )
-                votes = np.zeros(64, np.int64)
-                for at in range(0, len(hashes), 65536):
-                    part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
-                    votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                out[i] = np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0]
+                out[i] = majority(hashes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(sign, "doc_id long, fp long")

@@ -82,3 +82,46 @@ def test_no_documents_and_none_without_words(spark):
     assert nearcopies.without_copies(docs_of(spark, [])).count() == 0
     only = docs_of(spark, [(4, None, "en", "a", 0), (3, " ", "en", "a", 0), (None, "", "en", "a", 0)])
     assert sorted((r.doc_id for r in nearcopies.without_copies(only).collect()), key=repr) == [3, None]
+
+
+def edited(n, changes):
+    """One text, and copies of it in which words of their own stand at some places."""
+    r, text = random.Random(2), words(150, 7).split()
+    rows = [" ".join(text)]
+    for i in range(n):
+        copy = list(text)
+        for at in r.sample(range(8, 142), changes(i)):
+            copy[at] += f"q{i}"
+        rows.append(" ".join(copy))
+    return [(i, t, "en", "a", 0) for i, t in enumerate(rows)]
+
+
+def test_a_large_group_of_near_copies_does_not_meet_in_pairs(spark, monkeypatch):
+    """Copies are linked by SimHash and to the member with the fewest changes; only what is open then meets."""
+    compared, inner = [], nearcopies._similar
+    monkeypatch.setattr(nearcopies, "_similar", lambda pairs, *rest: compared.append(pairs.count()) or inner(pairs, *rest))
+    rows = edited(60, lambda i: 1 + i % 3)
+    got = {r.component_id for r in nearcopies.near_copies(docs_of(spark, rows)).collect()}
+    assert got == {0}
+    assert sum(compared) <= 4 * len(rows)
+
+
+def test_simhash_links_are_checked_and_lead(spark):
+    """What the pigeonring search links is among the pairs; texts with equal sets are one node."""
+    rows = edited(12, lambda i: 1)
+    prints = nearcopies.signed(docs_of(spark, rows)).select("node", "fp")
+    pairs = {tuple(sorted(r)) for r in nearcopies._simhash_pairs(prints).collect()}
+    held = {r.node: r.fp for r in prints.collect()}
+    assert pairs and all((held[a] ^ held[b]).bit_count() <= 3 for a, b in pairs if (held[a] ^ held[b]) >= 0)
+
+
+def test_blocks_of_a_file_meet_in_pairs(spark, monkeypatch):
+    """A file that is cut into blocks gives the pairs that it gives whole, between different parts only."""
+    rows = [(1, node, 10, 0, node % 4) for node in range(40)] + [(2, node, 10, 0, 9) for node in range(40, 60)] + [(3, 70, 10, 0, 1), (3, 71, 30, 0, 2)]
+    parted = spark.createDataFrame(rows, "key long, node long, size long, at long, part long")
+    expected = {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 4 != b % 4}
+    for small, short in ((4096, 64), (4096, 2), (7, 64), (7, 2), (1, 2)):
+        monkeypatch.setattr(nearcopies, "SMALL_FILE", small)
+        monkeypatch.setattr(nearcopies, "SHORT_FILE", short)
+        found = [tuple(sorted(r)) for r in nearcopies._crossed(parted).collect()]
+        assert set(found) == expected and len(found) == len(expected)
