@@ -2,7 +2,8 @@
 
 A needle can only stand in a text that has all its trigrams, so it is looked up by the
 rarest of them, and only what has that one is compared. The index is linear in the
-length of the texts; needles with a trigram that occurs nowhere go at once.
+length of the texts, and only runs that some needle has enter it; needles with a
+trigram that occurs nowhere go at once.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oddspark.sources.sinks import publish
+
 SIZE = 3
 
 
@@ -33,7 +36,12 @@ def rarest(needles: DataFrame, postings: DataFrame, pattern: str | None = None)
 
 def substring_matches(needles: DataFrame, words: DataFrame) -> DataFrame:
     """``needle, word`` wherever a word of ``words(word)`` contains a needle of ``needles(needle)``; both without repeats."""
-    all_sizes = F.concat(*(grams(F.col("word"), n) for n in range(1, SIZE + 1)))
-    postings = words.select("word", F.explode(all_sizes).alias("gram"))
-    found = rarest(needles.where(F.col("needle") != ""), postings).join(postings, "gram")
+    asked = needles.where(F.col("needle") != "")
+    sizes = asked.agg(F.collect_set(F.least(F.length("needle"), F.lit(SIZE))).alias("sizes")).select("sizes").scalar()
+    cut = lambda n: F.when(F.array_contains("_sizes", n), grams(F.col("word"), n)).otherwise(F.array().cast("array<string>"))
+    all_sizes = F.concat(*(cut(n) for n in range(1, SIZE + 1)))
+    wanted = asked.select(F.explode(_needle_grams(F.col("needle"))).alias("gram")).distinct()
+    postings = words.withColumn("_sizes", sizes).select("word", F.explode(all_sizes).alias("gram")).join(wanted, "gram", "left_semi")
+    postings = publish(postings, "postings")
+    found = rarest(asked, postings).join(postings, "gram")
     return found.where(F.contains("word", "needle")).select("needle", "word")

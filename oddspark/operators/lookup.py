@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from oddspark.functions import text as X
 from oddspark.operators.grams import substring_matches
+from oddspark.sources.sinks import publish
 
 
 def alias_dim(catalogue: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def drug_lookup(scored: DataFrame, queries: DataFrame, aliases: DataFrame) -> Da
 def reaction_matches(queries: DataFrame, reactions: DataFrame) -> DataFrame:
     keyed = queries.select("query", X.reaction_key(F.col("query")).alias("key"))
     names = reactions.select(F.col("reaction_pt").alias("name"), X.reaction_key(F.col("reaction_pt")).alias("key")).distinct()
-    return match_names(keyed, names)
+    return match_names(keyed, publish(names, "reaction_names"))
 
 
 def resolve_strict(queries: DataFrame, matches: DataFrame, shown: int | None = None) -> DataFrame:
