@@ -53,8 +53,11 @@ def molecule_baskets(baskets: DataFrame, entries: DataFrame, forms: DataFrame) -
     named = facts_match(entries.select("report_id", "haystack"), forms)
     found = named.groupBy("report_id").agg(F.collect_set("molecule").alias("_named"))
     none = F.array().cast("array<string>")
-    both = F.array_sort(F.array_union(F.coalesce("drugs", none), F.coalesce("_named", none)))
-    return baskets.join(found, "report_id", "left").withColumn("drugs", both).drop("_named")
+    both = F.sort_array(F.array_union(F.coalesce("drugs", none), F.coalesce("_named", none)))
+    joined = baskets.join(found, "report_id", "left")
+    # as a one-row generator the members are a barrier for filters, which would unite them again
+    named = joined.select(*joined.columns, F.inline(F.array(F.struct(both.alias("_drugs"))))).drop("drugs", "_named")
+    return named.withColumnRenamed("_drugs", "drugs").select(*baskets.columns)
 
 
 def molecule_reports(products: DataFrame, variants: DataFrame) -> DataFrame:

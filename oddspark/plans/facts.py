@@ -11,6 +11,7 @@ from oddspark.plans.registry import query
 from oddspark.sources import given as G
 from oddspark.sources import reports as R
 from oddspark.sources.given import Given
+from oddspark.sources.sinks import publish
 
 def _hay():
     return F.lower("p_name")
@@ -86,7 +87,7 @@ def _scored_sql(where: str) -> str:
 
 
 def _both_levels(g: Given, roles: list[str] | None = None):
-    nested = g.nested_reports()
+    nested = publish(g.nested_reports(), "nested_reports")  # classes and names are read from it apart
     baskets = R.class_baskets(nested, roles).select("report_id", "drugs", "reactions")
     return scoring.score(X.molecule_baskets(baskets, R.report_drug(nested, roles), X.molecule_forms(molecules(g))), ordered=False)
 
