@@ -12,6 +12,7 @@ from oddspark.operators import scoring
 from oddspark.plans import sql as q
 from oddspark.plans.registry import query
 from oddspark.sources.given import Given
+from oddspark.sources.sinks import publish
 
 # Hyper-parameters for the queries checked against SQL; a fit is table-dependent.
 FIXED = M.Params(0.502, 0.229, 323.7, 219.2, 0.664)
@@ -21,6 +22,11 @@ def _pairs(g: Given):
     return C.contingency(B.eligible(g.documents()))
 
 
+def _written(g: Given):
+    """The pairs, written once: a fit and what follows it read them again."""
+    return publish(_pairs(g), "mgps_pairs")
+
+
 def _lik(alpha: float, beta: float) -> str:
     return f"(lgamma({alpha} + a) - lgamma({alpha}) + {alpha}*ln({beta}/({beta}+e)) + a*ln(e/({beta}+e)))"
 
@@ -37,7 +43,7 @@ def ebgm(g: Given):
 
 @query("mgps_fit")
 def mgps_fit(g: Given):
-    pairs = _pairs(g)
+    pairs = _written(g)
     found = M.maximise(pairs)
     facts = found.params._asdict() | {"gain": found.likelihood - found.start_likelihood, "converged": found.converged}
     return pairs.agg(F.count(F.lit(1)).alias("pairs")).select("pairs", *[F.lit(v).alias(n) for n, v in facts.items()])
@@ -45,20 +51,20 @@ def mgps_fit(g: Given):
 
 @query("mgps")
 def mgps(g: Given):
-    pairs = _pairs(g)
+    pairs = _written(g)
     out = M.with_mgps(pairs, M.fit(pairs))
     return M.round_mgps(out.select("drug", "reaction_pt", "a", "expected", "EBGM", "EB05", "EB95"))
 
 
 @query("mgps_screening")
 def mgps_screening(g: Given):
-    pairs = _pairs(g)
+    pairs = _written(g)
     return M.screening_share(M.with_mgps(pairs, M.fit(pairs)))
 
 
 @query("rescore")
 def rescore(g: Given):
-    stored = scoring.score(g.orders(), ordered=False)
+    stored = publish(scoring.score(g.orders(), ordered=False), "rescored")
     return R.rescore(stored).select("drug", "reaction_pt", "a", "IC", "IC025", "IC975", "tier", "expected", "EBGM", "EB05", "EB95")
 
 
