@@ -125,3 +125,50 @@ def test_blocks_of_a_file_meet_in_pairs(spark, monkeypatch):
         monkeypatch.setattr(nearcopies, "SHORT_FILE", short)
         found = [tuple(sorted(r)) for r in nearcopies._crossed(parted).collect()]
         assert set(found) == expected and len(found) == len(expected)
+
+
+def test_unlike_texts_that_share_much_are_not_paired(spark, monkeypatch):
+    """Three texts with most words in common, not enough of them, met under each shared shingle of their prefixes."""
+    crossed, inner = [], nearcopies._crossed
+    monkeypatch.setattr(nearcopies, "_crossed", lambda *files: crossed.append(inner(*files).count()) or inner(*files))
+    rows = [words(150, 10 * family) + " " + words(50, 10 * family + 1 + i) for family in range(10) for i in range(3)]
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(rows)]
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(docs_of(spark, rows)).collect()}
+    assert got == {r[0]: c for r, c in zip(rows, components(rows))}
+    assert crossed[0] <= len(rows)
+
+
+def test_of_files_with_equal_members_the_first_is_kept(spark):
+    files = {5: [(1, 4), (2, 6)], 6: [(1, 0), (2, 3)], 7: [(1, 1), (2, 4), (3, 0)], 8: [(2, 5), (3, 1)], 9: [(2, 7), (3, 4)]}
+    met = spark.createDataFrame([(k, n, 10, at) for k, held in files.items() for n, at in held], "key long, node long, size long, at long")
+    kept = {(r.key, r.node) for r in nearcopies._first_files(met).collect()}
+    assert kept == {(k, n) for k in (6, 7, 8) for n, _ in files[k]}
+
+
+def test_marks_never_exceed_the_difference():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    pool = r.integers(0, 2**63, 30_000).astype(np.uint64)
+    sets = [np.unique(pool[a:b]) for a, b in ((0, 300), (0, 300), (20, 310), (0, 370), (200, 500), (0, 1), (3, 4), (0, 9000), (1000, 10_000), (0, 20_000), (2000, 22_000))]
+    marks = nearcopies.Marks([nearcopies._mark(s) for s in sets] + [b""])
+    i, j = (v.ravel() for v in np.meshgrid(np.arange(len(sets) + 1), np.arange(len(sets) + 1)))
+    bound = marks.differ(i, j)
+    truth = [0 if len(sets) in (x, y) else len(np.setxor1d(sets[x], sets[y])) for x, y in zip(i, j)]
+    assert (bound <= truth).all()
+    least = {(x, y): b for x, y, b in zip(i.tolist(), j.tolist(), bound.tolist())}
+    assert least[0, 1] == 0 and least[0, 2] == 30 and least[5, 6] == 2 and least[0, 4] > 200 and least[9, 10] > 3000
+
+
+def test_sets_are_made_and_moved_once_for_both_sides(spark):
+    def hold(batches):
+        yield from batches
+
+    sets = spark.range(40).selectExpr("id % 20 AS node", "sequence(id % 20, id % 20 + 9) AS held").mapInArrow(hold, "node long, held array<bigint>")
+    pairs = spark.range(19).selectExpr("id AS a", "id + 1 AS b")
+    from pyspark.sql import functions as F
+
+    found = nearcopies._compared(pairs, sets.groupBy("node").agg(F.first("held").alias("held")))
+    assert len(found.collect()) == 19
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan or plan.count("MapInArrow") == 1
