@@ -78,8 +78,8 @@ _BEFORE = ",\n".join([q.b_rd("lang", "p_rd"), q.b_rr(q.FIRST_HALF, "p_rr"), q.ce
       {q.r4('median(abs(n.IC025 - p.IC025))', 'median_shift')}, {q.r4('max(abs(n.IC025 - p.IC025))', 'max_shift')} FROM p_s p JOIN b_s n USING (drug, reaction_pt) GROUP BY ALL""",
 )
 def tier_movement(g: Given):
-    old = scoring.score(g.documents(until=g.first_half()), ordered=False, rounded=False)
-    return R.tier_movement(old, scoring.score(g.documents(), ordered=False, rounded=False))
+    halves = publish(C.pair_counts(B.eligible(g.documents(carry={"early": g.first_half()})), by=("early",)), "half_cells")
+    return R.tier_movement(scoring.score_cells(halves.where("early")), scoring.score_cells(C.united(halves)))
 
 
 @query(

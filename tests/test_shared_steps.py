@@ -77,3 +77,9 @@ def test_written_orders_give_the_same_profile(spark):
     g = Given(spark, str(DATA))
     key = lambda df: sorted(map(str, df.collect()))
     assert key(bias.profiled(g)) == key(bias.profiled(g, g.dated_orders()))
+
+
+def test_tier_movement_counts_both_halves_in_one_pass(spark):
+    """Documents of the first half are counted with the others; their texts are not read again."""
+    found = load().QUERIES["tier_movement"](spark, str(DATA))
+    assert "A-Za-z" not in plan_of(found) and "documents.parquet" not in plan_of(found)
