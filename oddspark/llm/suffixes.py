@@ -30,12 +30,21 @@ from pyspark.sql import types as T
 from oddspark.llm.common import publish, text_of
 from oddspark.llm.windows import WIDTH, Hasher, pieces
 
-#: Bytes sorted together in a task, and shards they are dealt to.
-BATCH_BYTES = 2_000_000
+#: Bytes sorted together in a task, each of which needs about 65 bytes of memory, and shards they are dealt to.
+BATCH_BYTES = 500_000
 SHARDS = 4
+#: Documents that are cut, and leave Python, at once.
+HELD_ROWS = 512
 _STEP = 8
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``HELD_ROWS``."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, HELD_ROWS):
+            yield batch.slice(start, HELD_ROWS)
+
+
 def _words(text):
     """The eight bytes from each position on as one big-endian number; zeros follow the text."""
     import numpy as np
@@ -54,30 +63,33 @@ class Shard:
         import numpy as np
 
         # each piece ends with the empty suffix, from which the merge starts
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        lengths = np.fromiter(map(len, texts), np.int32, len(texts)) + 1
         text = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8)
         size = len(text)
-        ends = np.cumsum(lengths)
-        at = np.arange(size)
+        ends = np.cumsum(lengths, dtype=np.int32)
+        at = np.arange(size, dtype=np.int32)
         left = np.repeat(ends, lengths) - 1 - at  # bytes to the end of the own piece
-        done = at - np.repeat(ends - lengths, lengths)  # bytes from its start
         words = _words(text)
         order, rank = self._double(words, left)
-        whole = np.flatnonzero(left >= width)
-        pair = rank[whole].astype(np.uint64) << np.uint64(32) | rank[whole + width - 128].astype(np.uint64)
-        pair_order = np.argsort(pair)
+        whole = np.flatnonzero(left >= width).astype(np.int32)
+        del left
+        pair = rank[whole].astype(np.uint64) << np.uint64(32) | rank[whole + (width - 128)].astype(np.uint64)
+        del rank
+        pair_order = np.argsort(pair).astype(np.int32)
         pair = pair[pair_order]
         alike = pair[1:] == pair[:-1]
         self.repeated = np.zeros(size, bool)
         self.repeated[whole[pair_order[1:][alike]]] = True
         self.repeated[whole[pair_order[:-1][alike]]] = True
-        inverse = np.empty(size, np.int64)
+        del whole, pair, pair_order, alike
+        inverse = np.empty(size, np.int32)
         inverse[order] = at
         self.order, self.first, self.size = order, first, size
-        self.can_step = done[order] >= _STEP
         before = np.maximum(order - _STEP, 0)
         self.transform = words[before]
-        self.step = inverse[before] + first
+        # -1: the piece starts less than a step before
+        done = at - np.repeat(ends - lengths, lengths)
+        self.step = np.where(done[order] >= _STEP, inverse[before] + np.int32(first), np.int32(-1))
 
     @staticmethod
     def _double(words, left):
@@ -85,25 +97,31 @@ class Shard:
         import numpy as np
 
         size = len(words)
-        order = np.argsort(words)
-        rank = np.empty(size, np.int64)
-        keys, slots, depth = words[order], np.arange(size), _STEP
+        order = np.argsort(words).astype(np.int32)
+        rank = np.empty(size, np.int32)
+        keys, slots, depth = words[order], np.arange(size, dtype=np.int32), _STEP
         while True:
             # slots are the places of ``order`` that were just sorted, keys their sorted keys
             new = np.ones(len(slots), bool)
             new[1:] = keys[1:] != keys[:-1]
-            first = slots[np.flatnonzero(new)]
-            group = np.cumsum(new) - 1
+            del keys
+            first = slots[new]
+            group = np.cumsum(new, dtype=np.int32) - 1
             rank[order[slots]] = first[group]
             if depth == 128:
                 return order, rank
-            shared = np.bincount(group)[group] > 1 if len(group) else new
+            shared = ~new
+            shared[:-1] |= shared[1:]
             slots = slots[shared]
+            del first, group, new, shared
             here = order[slots]
             follow = np.where(left[here] > depth, rank[np.minimum(here + depth, size - 1)] + 1, 0)
-            keys = rank[here].astype(np.uint64) << np.uint64(32) | follow.astype(np.uint64)
-            sort = np.argsort(keys)
+            keys = rank[here].astype(np.uint64) << np.uint64(32)
+            keys |= follow.astype(np.uint64)
+            del follow
+            sort = np.argsort(keys).astype(np.int32)
             order[slots], keys = here[sort], keys[sort]
+            del here, sort
             depth *= 2
 
 
@@ -118,25 +136,27 @@ def merge_repeats(texts: list[bytes], width: int = WIDTH, shards: int = SHARDS)
     for own in dealt:
         made.append(Shard([texts[i] for i in own], first, width))
         first += made[-1].size
-    step = np.where(np.concatenate([s.can_step for s in made]), np.concatenate([s.step for s in made]), -1).astype(np.int32)
+    step = np.concatenate([s.step for s in made])
     shard_of = np.repeat(np.arange(len(made), dtype=np.uint8), [s.size for s in made])
     # equal eight bytes get equal numbers, whose halves are sorted one after the other
     symbols = np.concatenate([s.transform for s in made])
-    by_symbol = np.argsort(symbols)
-    fresh = np.ones(first, np.int32)
-    fresh[1:] = symbols[by_symbol][1:] != symbols[by_symbol][:-1]
-    number = np.empty(first, np.uint32)
-    number[by_symbol] = np.cumsum(fresh) - 1
+    for shard in made:
+        del shard.step, shard.transform
+    by_symbol = np.argsort(symbols).astype(np.int32)
+    symbols = symbols[by_symbol]
+    number = np.zeros(first, np.uint32)
+    number[by_symbol[1:]] = np.cumsum(symbols[1:] != symbols[:-1], dtype=np.uint32)
+    del symbols, by_symbol
     low, high = number.astype(np.uint16), (number >> 16).astype(np.uint16)
     entry, interval = np.arange(first, dtype=np.int32), np.zeros(first, np.int32)
     for _ in range(width // _STEP if len(made) > 1 else 0):
         follow = step[entry]
-        keep = np.flatnonzero(follow >= 0)
+        keep = follow >= 0
         entry, interval, follow = entry[keep], interval[keep], follow[keep]
         if not len(entry):
             break
-        order = np.argsort(low[entry], kind="stable")
-        order = order[np.argsort(high[entry[order]], kind="stable")]
+        order = np.argsort(low[entry], kind="stable").astype(np.int32)
+        order = order[np.argsort(high[entry[order]], kind="stable").astype(np.int32)]
         symbol, interval, shard = number[entry[order]], interval[order], shard_of[entry[order]]
         new = np.ones(len(order), bool)
         new[1:] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
@@ -167,7 +187,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
     hasher = Hasher()
-    for batch in batches:
+    for batch in _held(batches):
         out: list[list] = [[], [], [], []]
         counts, more = [], []
         for text in batch.column(2):
@@ -315,7 +335,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        for batch in batches:
+        for batch in _held(batches):
             out: list[list] = [[], [], [], [], []]
             own, (keys, starts, counts) = _flat(batch.column(3), "key", "start", "count")
             ids, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -360,7 +380,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
+        for batch in _held(batches):
             out: list[list] = [[], [], [], [], []]
             own, (starts, counts) = _flat(batch.column("runs"), "start", "count")
             for row, text in enumerate(batch.column("text")):

@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -212,6 +214,25 @@ def test_merge_of_transforms():
             assert flags.tolist() == [seen[t[i : i + 200]] > 1 for i in range(len(t) - 199)]
 
 
+def test_merge_and_cut_hold_little_memory():
+    r = np.random.default_rng(2)
+    copies = [bytes(r.integers(97, 123, 250, dtype=np.uint8)) for _ in range(2500)]
+    parts = [part + tail for part in copies for tail in (b"x" * 40, b"y" * 50)]
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(c) for c in (list(range(5000)), [7] * 5000, [i // 2 for i in range(5000)], [0] * 5000, parts)], ["doc_id", "tag", "key", "start", "part"]
+    )
+    tracemalloc.start()
+    runs = [run for out in suffixes._merge(iter([rows])) for run in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert runs == [{"doc_id": i, "tag": 7, "start": 0, "count": 51} for i in range(5000)]
+    assert peak < 60e6  # 1.5 MB of pieces
+    texts = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array([7] * 5000), pa.array([p.decode() for p in parts])], ["doc_id", "tag", "text"])
+    cut = list(suffixes._cut(iter([texts])))
+    assert [i for out in cut for i in dict.fromkeys(out.column(0).to_pylist())] == list(range(5000))
+    assert max(len(set(out.column(0).to_pylist())) for out in cut) <= 512
+
+
 # --- fingerprints -----------------------------------------------------------------------
 
 
